@@ -129,6 +129,12 @@ def thaw(value: bytes) -> list[np.ndarray]:
     return out
 
 
+def _and_end(batches):
+    """The batches, then None."""
+    yield from batches
+    yield None
+
+
 # --- words and rolling hashes ----------------------------------------------------------------
 
 #: Space and \x09-\x0D end a word; every other byte belongs to one.

@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, urlrules
+from . import embeddings, packing, sharding, simhash, substring, urlrules
 from .common import prepare, table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(256))
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -25,6 +31,16 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, SHARDS).select("doc_id", "slot", "shard")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return simhash.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlrules.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -51,7 +67,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LE
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pack": op2_pack, "op3_shard": op3_shard, "op10_urlrules": op10_urlrules}
+    return {"op1_substring": op1_substring, "op2_pack": op2_pack, "op3_shard": op3_shard, "op5_simhash": op5_simhash, "op6_embeddings": op6_embeddings, "op10_urlrules": op10_urlrules}
 
 
 def oracle_sql() -> dict[str, str]:
