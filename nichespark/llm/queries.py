@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, packing, sharding, simhash, substring, urlrules
+from . import decontam, embeddings, lm, packing, sharding, simhash, substring, urlrules
 from .common import prepare, table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(256))
@@ -31,6 +31,11 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, SHARDS).select("doc_id", "slot", "shard")
 
 
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return decontam.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return simhash.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -41,6 +46,11 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *lm.RESULTS)
+
+
 def op10_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlrules.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -67,7 +77,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LE
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring": op1_substring, "op2_pack": op2_pack, "op3_shard": op3_shard, "op5_simhash": op5_simhash, "op6_embeddings": op6_embeddings, "op10_urlrules": op10_urlrules}
+    return {f.__name__: f for f in (op1_substring, op2_pack, op3_shard, op4_decontam, op5_simhash, op6_embeddings, op8_lm, op10_urlrules)}
 
 
 def oracle_sql() -> dict[str, str]:
