@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, lm, packing, sharding, simhash, substring, urlrules
+from . import decontam, embeddings, lm, packing, quality, sharding, simhash, substring, toxicity, urlrules
 from .common import prepare, table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(256))
@@ -46,11 +46,25 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).drop("text")
+
+
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *lm.RESULTS)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).drop("text")
+
+
 def op10_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlrules.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -77,7 +91,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LE
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring, op2_pack, op3_shard, op4_decontam, op5_simhash, op6_embeddings, op8_lm, op10_urlrules)}
+    return {f.__name__: f for f in (op1_substring, op2_pack, op3_shard, op4_decontam, op5_simhash, op6_embeddings, op7_toxicity, op8_lm, op9_quality, op10_urlrules)}
 
 
 def oracle_sql() -> dict[str, str]:
