@@ -3,10 +3,10 @@
 Items are the indexed documents, passages of the training texts are the queries. A passage is a
 window of twice the longest item's words, every such half; an item that occurs in a text therefore
 lies whole in one of them. Impacts are BM25 weights as a share of the item's own score, so one
-threshold serves all items. Items form blocks with the largest impact of each term; a passage's sum
-of a block's largest impacts bounds its score for every item of the block, and blocks under the
-threshold are skipped unscored. The bounds are exact upper bounds: every item at or above the
-threshold is retrieved. Retrieved items are verified by the share of five-word shingles of their
+threshold serves all items. Items form blocks. A block's bound for a passage is the sum of the block's
+largest impacts over the passage's rarer words, by their postings of blocks, and the most that any of
+its items can take from common words; blocks whose bound is under the threshold are skipped unscored.
+The bounds are exact upper bounds: every item at or above the threshold is retrieved. Retrieved items are verified by the share of five-word shingles of their
 question and of their answer (last sentence, or last quarter of a single sentence) in the passage.
 
 The index is sent to the executors in parts of INDEX_ITEMS items; each part's size is bounded.
@@ -33,7 +33,9 @@ THRESHOLD = 0.5
 #: Share of five-word shingles of question and of answer that confirms it.
 OVERLAP = 0.8
 SHINGLE = 5
-BLOCK = 16
+BLOCK = 2
+#: Words in more than this share of the items are common.
+COMMON = 0.05
 INDEX_ITEMS = 2000
 #: Words of one item and items in all that may be sent to executors; more items need more passes.
 MAX_ITEM_WORDS = 20_000
@@ -80,17 +82,24 @@ class Index:
         for b in bags:
             df[[self.vocabulary[w] for w in set(b)]] += 1
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        common = df > max(1.0, COMMON * n)
+        self.blocks = max(1, -(-n // BLOCK))
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
-        blocks = -(-n // BLOCK)
-        self.block_max = np.zeros((len(self.vocabulary) + 1, max(1, blocks)), np.float32)  # the last row: other words
+        largest: list[dict[int, float]] = [{} for _ in self.vocabulary]
+        self.common_bound = np.zeros(self.blocks)
         for i, b in enumerate(bags):
             ids, tf = np.unique([self.vocabulary[w] for w in b], return_counts=True)
             impact = idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[i] / mean))
             impact /= impact.sum()
             for t, x in zip(ids.tolist(), impact.tolist(), strict=True):
                 self.postings[t].append((i, x))
-            at = self.block_max[ids, i // BLOCK]
-            self.block_max[ids, i // BLOCK] = np.maximum(at, np.nextafter(impact.astype(np.float32), np.float32(2)))
+                if not common[t]:
+                    largest[t][i // BLOCK] = max(largest[t].get(i // BLOCK, 0.0), x)
+            self.common_bound[i // BLOCK] = max(self.common_bound[i // BLOCK], float(impact[common[ids]].sum()))
+        # for each rarer word the blocks that hold it and their largest impacts; the last word stands for all others
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in largest] + [0])])
+        self.block = np.array([b for x in largest for b in x], np.int64)
+        self.largest = np.array([v for x in largest for v in x.values()], float)
         self.shingles = [tuple(self._shingles([self.vocabulary[w] for w in p]) for p in qa) for qa in self.parts]
 
     @staticmethod
@@ -98,51 +107,61 @@ class Index:
         k = min(SHINGLE, len(ids))
         return {tuple(ids[i : i + k]) for i in range(len(ids) - k + 1)} if k else set()
 
-    def matches(self, ids: np.ndarray) -> list[tuple[int, float, float, float, int, int]]:
-        """(item, score, question overlap, answer overlap, first word, end word) of one text's words.
+    def matches(self, ids: np.ndarray, off: np.ndarray | None = None) -> list[tuple[int, int, float, float, float, int, int]]:
+        """(text, item, score, question overlap, answer overlap, first word, end word) of some texts.
 
-        ids: numbers in the vocabulary; its size for any other word.
+        ids: numbers in the vocabulary (its size for any other word) of all texts, text k from off[k] to off[k + 1].
         """
-        n, half, other = len(ids), self.longest, len(self.vocabulary)
-        starts = np.arange(0, max(1, n - half), half)
-        ends = np.minimum(starts + 2 * half, n)
-        best: dict[int, tuple] = {}
-        for lo in range(0, len(starts), 4096):
-            s, e = starts[lo : lo + 4096], ends[lo : lo + 4096]
-            bound = np.zeros((int(e[-1] - s[0]) + 1, self.block_max.shape[1]), np.float64)
-            np.cumsum(self.block_max[ids[s[0] : e[-1]]], axis=0, dtype=np.float64, out=bound[1:])
-            bound = bound[e - s[0]] - bound[s - s[0]]
-            for p in np.flatnonzero((bound >= self.threshold - 1e-6).any(axis=1)).tolist():
-                a, z = int(s[p]), int(e[p])
-                terms = np.unique(ids[a:z])
-                terms = terms[terms < other]
-                tight = self.block_max[terms].sum(axis=0, dtype=np.float64)
-                alive = {int(b) for b in np.flatnonzero(tight >= self.threshold - 1e-6)}
-                if not alive:
+        off = np.array([0, len(ids)]) if off is None else off
+        half, size = self.longest, np.diff(off)
+        cells = np.maximum(-(-size // half), 1)  # of half a passage each; a passage is two in a row
+        first = np.concatenate([[0], np.cumsum(cells)])
+        n = self.first[ids + 1] - self.first[ids]
+        at = np.flatnonzero(n)
+        n = n[at]
+        text = np.searchsorted(off, at, "right") - 1
+        cell = first[text] + (at - off[text]) // half
+        entry = np.repeat(self.first[ids[at]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        bound = np.bincount(np.repeat(cell, n) * self.blocks + self.block[entry], self.largest[entry], minlength=int(first[-1]) * self.blocks).reshape(-1, self.blocks)
+        last = np.zeros(int(first[-1]), bool)
+        last[first[1:] - 1] = True
+        pair = bound.copy()
+        pair[:-1][~last[:-1]] += bound[1:][~last[:-1]]
+        alive = pair + self.common_bound >= self.threshold - 1e-9
+        best: dict[tuple[int, int], tuple] = {}
+        for c in np.flatnonzero(alive.any(axis=1)).tolist():
+            k = int(np.searchsorted(first, c, "right")) - 1
+            if last[c] and c > first[k]:
+                continue  # the passage before holds it whole
+            a = int(off[k]) + (c - int(first[k])) * half
+            z = min(a + 2 * half, int(off[k + 1]))
+            self._score(k, a - int(off[k]), ids[a:z], set(np.flatnonzero(alive[c]).tolist()), best)
+        return [(k, self.items[i], x, q, w, a, z) for (k, i), (_, x, q, w, a, z) in best.items()]
+
+    def _score(self, text: int, a: int, own: np.ndarray, alive: set[int], best: dict) -> None:
+        """Exact scores of one passage for the items of the blocks alive; the best passage of every item stays."""
+        terms, score = np.unique(own), {}
+        for t in terms[terms < len(self.vocabulary)].tolist():
+            for i, x in self.postings[t]:
+                if i // BLOCK in alive:
+                    score[i] = score.get(i, 0.0) + x
+        own = own.tolist()
+        sets: dict[int, set] = {}
+        for i, x in score.items():
+            if x < self.threshold - 1e-9:
+                continue
+            shares = []
+            for sh in self.shingles[i]:
+                if not sh:  # a one-word item has no answer
+                    shares.append(1.0)
                     continue
-                score: dict[int, float] = {}
-                for t in terms.tolist():
-                    for i, x in self.postings[t]:
-                        if i // BLOCK in alive:
-                            score[i] = score.get(i, 0.0) + x
-                found = [(i, x) for i, x in score.items() if x >= self.threshold - 1e-9]
-                if found:
-                    own = ids[a:z].tolist()
-                    sets: dict[int, set] = {}
-                    for i, x in found:
-                        shares = []
-                        for sh in self.shingles[i]:
-                            if not sh:  # a one-word item has no answer
-                                shares.append(1.0)
-                                continue
-                            k = len(next(iter(sh)))
-                            if k not in sets:
-                                sets[k] = {tuple(own[j : j + k]) for j in range(len(own) - k + 1)}
-                            shares.append(sum(y in sets[k] for y in sh) / len(sh))
-                        got = (min(shares), x, *shares, a, z)
-                        if i not in best or got > best[i]:
-                            best[i] = got
-        return [(self.items[i], x, q, w, a, z) for i, (_, x, q, w, a, z) in best.items()]
+                k = len(next(iter(sh)))
+                if k not in sets:
+                    sets[k] = {tuple(own[j : j + k]) for j in range(len(own) - k + 1)}
+                shares.append(sum(y in sets[k] for y in sh) / len(sh))
+            got = (min(shares), x, *shares, a, a + len(own))
+            if (text, i) not in best or got > best[text, i]:
+                best[text, i] = got
 
 
 class _Numbers(dict):
@@ -177,19 +196,21 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str =
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             number = _Numbers(index.vocabulary)
             for b in batches:
-                at, found = [], []
-                for k, t in enumerate(b.column(1).to_pylist()):
-                    if not t:
-                        continue
-                    ids = np.array(list(map(number.__getitem__, t.encode().split())), np.int64)
-                    ids = ids[ids >= 0]
-                    if len(ids):
-                        got = index.matches(ids)
-                        found += got
-                        at += [k] * len(got)
-                cols = list(zip(*found, strict=True)) or [()] * 6
+                found, rows, texts, held = [], [], [], 0
+                for k, t in enumerate([*b.column(1).to_pylist(), None]):
+                    if t:
+                        ids = np.array(list(map(number.__getitem__, t.encode().split())), np.int64)
+                        ids = ids[ids >= 0]
+                        if len(ids):
+                            rows.append(k), texts.append(ids)
+                            held += len(ids)
+                    if rows and (held > 200_000 or k == b.num_rows):
+                        off = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+                        found += [(rows[m[0]], *m[1:]) for m in index.matches(np.concatenate(texts), off)]
+                        rows, texts, held = [], [], 0
+                at, *cols = list(zip(*found, strict=True)) or [()] * 7
                 kinds = [None, pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(cols[0], item_type), *[pa.array(c, x) for c, x in zip(cols[1:], kinds[1:], strict=True)]], [id_col, item_id, "score", "question_overlap", "answer_overlap", "first_word", "end_word"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(list(at), pa.int64())), pa.array(cols[0], item_type), *[pa.array(c, x) for c, x in zip(cols[1:], kinds[1:], strict=True)]], [id_col, item_id, "score", "question_overlap", "answer_overlap", "first_word", "end_word"])
 
         item_type = pa.int64() if ikind == "bigint" else pa.int32() if ikind == "int" else pa.string()
         found = src.mapInArrow(run, ddl)

@@ -55,9 +55,9 @@ def test_block_max_retrieves_all_above_the_threshold():
         ids = [index.vocabulary.get(w, len(index.vocabulary)) for w in text]
         import numpy as np
 
-        got = {m[0] for m in index.matches(np.array(ids))}
+        got = {m[1] for m in index.matches(np.array(ids))}
         half, want = index.longest, set()
-        for s in range(0, max(1, len(text) - half), half):
+        for s in range(0, max(1, -(-len(text) // half) * half - half), half):
             bag = set(text[s : s + 2 * half])
             for k, (i, _) in enumerate(items):
                 x = sum(x for w in bag if w in index.vocabulary for j, x in index.postings[index.vocabulary[w]] if j == k)
