@@ -72,9 +72,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
 
     coded = classes.select("node", "n", "v").mapInArrow(codes, "n long, node long, codes binary, each array<long>, v array<double>")
     dealt = coded.select("n", "node", "codes", "v", F.posexplode("each").alias("t", "code"))
-    sizes = coded.select(F.posexplode("each").alias("t", "code")).groupBy("t", "code").agg(F.count("*").alias("m")).where("m > 1")
-    tiles = F.ceil(F.col("m") / F.lit(tile)).cast("int")
-    dealt = dealt.join(sizes, ["t", "code"]).withColumn("k", tiles).withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    # large groups are few: a table of its own, whose size lets the planner keep the vectors where they are
+    large = durable(coded.select(F.posexplode("each").alias("t", "code")).groupBy("t", "code").agg(F.count("*").alias("m")).where(F.col("m") > tile), "large")
+    tiles = F.coalesce(F.ceil(F.col("m") / F.lit(tile)), F.lit(1)).cast("int")
+    dealt = dealt.join(large, ["t", "code"], "left").withColumn("k", tiles).withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     dealt = dealt.withColumn("o", other).select("t", "code", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "n", "node", "codes", "v")
     group = ["t", "code", "i", "j"]

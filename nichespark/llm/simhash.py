@@ -160,7 +160,8 @@ def similar_links(classes: DataFrame, max_bits: int = MAX_BITS, group: int = GRO
 
     def deal(rows: DataFrame, free: list[list[int]]) -> list[DataFrame]:
         """rows, those of large groups by the coordinates of one more block of their free bits."""
-        large = rows.groupBy("t", "key").count().where(F.col("count") > group).select("t", "key", F.lit(True).alias("large"))
+        # a table of its own: as few keys are large, its size lets the planner keep the rows where they are
+        large = durable(rows.groupBy("t", "key").count().where(F.col("count") > group).select("t", "key", F.lit(True).alias("large")), "large")
         rows = rows.join(large, ["t", "key"], "left")
         cold = rows.where("large is null").drop("large")
         bits = {t: _blocks(own, max_bits + 1) for t, own in enumerate(free)}
