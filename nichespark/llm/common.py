@@ -107,12 +107,16 @@ def slices(off: np.ndarray, limit: int = 1 << 20):
         i = min(j, n)
 
 
+def _differs(a: np.ndarray) -> bool:
+    return a.dtype.kind in "iu" and a.dtype != np.uint32 and len(a) > 0
+
+
 def freeze(*arrays: np.ndarray) -> bytes:
-    """Arrays in one compressed value; whole numbers are stored as differences."""
+    """Arrays in one compressed value; whole numbers, uint32 apart, are stored as differences."""
     body = []
     for a in arrays:
         a = np.ascontiguousarray(a)
-        raw = np.diff(a, prepend=a.dtype.type(0)) if a.dtype.kind in "iu" and len(a) else a
+        raw = np.diff(a, prepend=a.dtype.type(0)) if _differs(a) else a
         planes = raw.view(np.uint8).reshape(len(a), a.itemsize).T  # equal bytes of the numbers side by side
         body.append(a.dtype.str.encode().ljust(8) + zstandard.compress(planes.tobytes(), 1))
     return np.array([len(arrays), *map(len, body)], np.int64).tobytes() + b"".join(body)
@@ -127,7 +131,7 @@ def thaw(value: bytes) -> list[np.ndarray]:
         dtype = np.dtype(part[:8].decode().strip())
         planes = np.frombuffer(zstandard.decompress(part[8:]), np.uint8)
         a = np.ascontiguousarray(planes.reshape(dtype.itemsize, -1).T).view(dtype).reshape(-1)
-        out.append(np.cumsum(a, dtype=dtype) if dtype.kind in "iu" and len(a) else a)
+        out.append(np.cumsum(a, dtype=dtype) if _differs(a) else a)
     return out
 
 

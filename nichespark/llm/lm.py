@@ -31,12 +31,13 @@ MIN_COUNT = 2
 RESULTS = ("n_tokens", "log_score", "mean_log_score")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-#: Bits of a hash that count tables keep.
-KEEP = np.uint64(12)
+#: Count tables keep the bits of a hash that the corpus needs: log2 of its bytes and this many more, so
+#: that about one n-gram in 2**SPARE shares its number with another, at every size.
+SPARE = 18
 REPLY = pa.schema([("shard", pa.int32()), ("payload", pa.binary())])
 
 
-def _grams(texts: pa.Array, order: int):
+def _grams(texts: pa.Array, order: int, drop: np.uint64):
     """(row of each word, hashes of the n-gram that ends at each word for each order; 0 where there is none)."""
     data, off = buffers(texts)
     rows, grams = [], [[] for _ in range(order)]
@@ -49,16 +50,16 @@ def _grams(texts: pa.Array, order: int):
             g = np.zeros(len(h), np.uint64)
             if len(h) >= n:
                 k = np.arange(len(h) - n + 1)
-                g[n - 1 :] = (spans_hash(h, k, k + n, 1 + n % 3) >> KEEP) + np.uint64(1)
+                g[n - 1 :] = (spans_hash(h, k, k + n, 1 + n % 3) >> drop) + np.uint64(1)
                 g[n - 1 :][row[: len(h) - n + 1] != row[n - 1 :]] = 0
             grams[n - 1].append(g)
     cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
     return cat(rows, np.int64), [cat(g, np.uint64) for g in grams]
 
 
-def _distinct(g: np.ndarray, buckets: int):
+def _distinct(g: np.ndarray, buckets: int, drop: np.uint64):
     u, n = np.unique(g[g > 0], return_counts=True)
-    return u, n, np.searchsorted(bucket_of(u << KEEP, buckets), np.arange(buckets + 1))
+    return u, n, np.searchsorted(bucket_of((u - np.uint64(1)) << drop, buckets), np.arange(buckets + 1))
 
 
 def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, shard_bytes: int | None = None) -> DataFrame:
@@ -68,14 +69,15 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: in
     total = text_bytes(docs, text)
     shards = max(1, -(-total // (shard_bytes or scaled(total, 4 << 20, 0.25))))
     buckets = max(1, -(-total // scaled(total, 4 << 20, 0.4)))
+    drop = np.uint64(max(1, 64 - max(40, (total + 1).bit_length() + SPARE)))
     base = without(docs, *RESULTS)
     cols = base.columns
     src = base.withColumn("__shard", F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text}`"))), F.lit(shards)).cast("int"))
     by_shard = src.groupBy("__shard")
 
     def count(table: pa.Table) -> pa.Table:
-        rows, grams = _grams(text_array(table.column(text)), order)
-        own = [_distinct(g, buckets) for g in grams]
+        rows, grams = _grams(text_array(table.column(text)), order, drop)
+        own = [_distinct(g, buckets, drop) for g in grams]
         out = []
         for b in range(buckets):
             parts = [x for u, n, cut in own for x in (u[cut[b] : cut[b + 1]], n[cut[b] : cut[b + 1]].astype(np.uint32))]
@@ -89,7 +91,7 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: in
         for n in range(order):
             h, c = np.concatenate([p[1 + 2 * n] for p in parts]), np.concatenate([p[2 + 2 * n] for p in parts])
             _, inv = np.unique(h, return_inverse=True)
-            sums = np.bincount(inv, weights=c)[inv].astype(np.int64) if len(h) else np.zeros(0, np.int64)
+            sums = np.bincount(inv, weights=c)[inv] if len(h) else np.zeros(0)
             at = 0
             for r, p in zip(replies, parts, strict=True):
                 r.append(sums[at : at + len(p[1 + 2 * n])])
@@ -100,13 +102,13 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: in
 
     def apply(table: pa.Table, replies: pa.Table) -> pa.Table:
         n_rows = table.num_rows
-        row, grams = _grams(text_array(table.column(text)), order)
+        row, grams = _grams(text_array(table.column(text)), order, drop)
         got = sorted((thaw(x) for x in replies.column("payload").to_pylist()), key=lambda p: int(p[0][0]))
         tokens = int(got[0][0][1]) if got else 0
         counts = []
         for n, g in enumerate(grams):
             u = np.unique(g[g > 0])
-            c = np.concatenate([p[1 + n] for p in got]) if got else np.zeros(0, np.int64)
+            c = np.concatenate([p[1 + n] for p in got]) if got else np.zeros(0)
             counts.append(np.where(g > 0, c[np.minimum(np.searchsorted(u, g), max(0, len(u) - 1))] if len(u) else 0, 0))
         if len(row):
             logs = np.log(counts[0] / tokens) + np.log(alpha) * (order - 1)
