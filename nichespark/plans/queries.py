@@ -42,8 +42,7 @@ def _density(edge: bool, diggle: bool):
 
 def niche_padded(spark, sf):
     t = order_tissue(spark, sf)
-    few = t.cells.where("sample_id <> 'S0' or cell_type <> 'MACHINERY'")
-    return _rounded(build_niches(few, SIGMAS), "density")
+    return _rounded(build_niches(t.cells, SIGMAS), "density")
 
 
 def _merged(spark, sf):
@@ -264,7 +263,7 @@ def gsea_cascade(spark, sf):
 
 
 def lambda_by_celltype(spark, sf):
-    return _rounded(gsea.inflation(_niche_wald(order_tissue(spark, sf)).where("sigma = 30")), "lambda")
+    return _rounded(gsea.inflation(_niche_wald(order_tissue(spark, sf))), "lambda")
 
 
 # --- iterative: no SQL twin ------------------------------------------------------------------
@@ -334,15 +333,15 @@ def _mass(v: str, lo: str, hi: str, s: str) -> str:
     return f"0.5 * ({_erf(f'({hi} - {v}) / ({s} * sqrt(2.0))')} - {_erf(f'({lo} - {v}) / ({s} * sqrt(2.0))')})"
 
 
-def _niche_sql(sigmas, edge=True, diggle=True, cells="cells") -> str:
+def _niche_sql(sigmas, edge=True, diggle=True) -> str:
     e = f"({_mass('x', 'x0', 'x1', 'sigma')}) * ({_mass('y', 'y0', 'y1', 'sigma')})" if edge else "1.0"
     by = "j.e" if diggle else "i.e"
-    return f"""box AS (SELECT sample_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM {cells} GROUP BY 1),
-src AS (SELECT c.*, sigma, {e} AS e FROM {cells} c JOIN box USING (sample_id), (SELECT unnest([{', '.join(f'{float(s)}::DOUBLE' for s in sigmas)}]) AS sigma)),
+    return f"""box AS (SELECT sample_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM cells GROUP BY 1),
+src AS (SELECT c.*, sigma, {e} AS e FROM cells c JOIN box USING (sample_id), (SELECT unnest([{', '.join(f'{float(s)}::DOUBLE' for s in sigmas)}]) AS sigma)),
 near AS (SELECT i.cell_id, i.sample_id, i.sigma, j.cell_type AS ct_niche, sum(0.5 * exp(-((i.x - j.x) * (i.x - j.x) + (i.y - j.y) * (i.y - j.y)) / (2 * i.sigma * i.sigma)) / {by}) AS density
   FROM src i JOIN src j ON i.sample_id = j.sample_id AND i.sigma = j.sigma GROUP BY 1, 2, 3, 4),
-niches AS (SELECT c.cell_id, c.sample_id, s.sigma, t.cell_type AS ct_niche, coalesce(n.density, 0) AS density FROM {cells} c
-  CROSS JOIN (SELECT DISTINCT sigma FROM src) s CROSS JOIN (SELECT DISTINCT cell_type FROM {cells}) t LEFT JOIN near n ON n.cell_id = c.cell_id AND n.sigma = s.sigma AND n.ct_niche = t.cell_type)"""
+niches AS (SELECT c.cell_id, c.sample_id, s.sigma, t.cell_type AS ct_niche, coalesce(n.density, 0) AS density FROM cells c
+  CROSS JOIN (SELECT DISTINCT sigma FROM src) s CROSS JOIN (SELECT DISTINCT cell_type FROM cells) t LEFT JOIN near n ON n.cell_id = c.cell_id AND n.sigma = s.sigma AND n.ct_niche = t.cell_type)"""
 
 
 MEANS = """means AS (SELECT g.gene, k.cell_type, k.condition, k.n_cells, CAST(coalesce(s.total, 0) AS DOUBLE) AS total, coalesce(s.total, 0) / k.n_cells AS mu
@@ -457,7 +456,7 @@ SQL = {
     "niche_density_noedge": f"WITH {CELLS}, {_niche_sql([30], False)} {_sel('density')} FROM near",
     "niche_density_edge": f"WITH {CELLS}, {_niche_sql([30], True, False)} {_sel('density')} FROM near",
     "niche_density_diggle": f"WITH {CELLS}, {_niche_sql([30])} {_sel('density')} FROM near",
-    "niche_padded": f"WITH {CELLS}, few AS (SELECT * FROM cells WHERE sample_id <> 'S0' OR cell_type <> 'MACHINERY'), {_niche_sql(SIGMAS, cells='few')} SELECT cell_id, sample_id, sigma, ct_niche, round(density, 6) AS density FROM niches",
+    "niche_padded": f"WITH {CELLS}, {_niche_sql(SIGMAS)} SELECT cell_id, sample_id, sigma, ct_niche, round(density, 6) AS density FROM niches",
     "niche_merge": f"WITH {CELLS}, {_niche_sql([30])} SELECT cell_id, {HOME} AS ct_niche, round(sum(density), 6) AS density FROM niches GROUP BY 1, 2 UNION ALL SELECT cell_id, 'NONE', 0 FROM cells",
     "niche_merge_composed": f"WITH {CELLS}, {MEMBERS} SELECT DISTINCT sigma, CASE WHEN niche IN ('HOME', 'BUILDING') THEN 'LARGE' ELSE niche END AS niche, member FROM members",
     "self_niche_drop": f"WITH {CELLS}, {MEMBERS} SELECT DISTINCT sigma, member AS ct_index, niche AS ct_niche FROM members",
@@ -508,7 +507,7 @@ SELECT gene, ct_index, ct_niche, bandwidth_max, round(coef, 6) AS coef, round(t,
     "gsea_cascade": f"""{NICHE}, {SETS}, {STAT}, {CASCADE}
 SELECT * FROM (SELECT geneset, collection, size, ct_index, ct_niche, bandwidth_max, round(z, 6) AS z, CASE WHEN z > 0 THEN 'Up' ELSE 'Down' END AS Direction, round(fdr_geneset, 6) AS fdr_geneset, round(fdr_index, 6) AS fdr_index,
   round({_bh('p', 'collection, geneset, ct_index', '')}, 6) AS fdr_niche FROM {_ranked('l3', 'p', 'collection, geneset, ct_index', 'ct_niche')}) WHERE fdr_niche < 0.999""",
-    "lambda_by_celltype": f"{NICHE} SELECT ct_index, round(median(t * t) / {0.6744897501960817**2}, 6) AS lambda FROM nw WHERE sigma = 30 GROUP BY 1",
+    "lambda_by_celltype": f"{NICHE} SELECT ct_index, round(median(t * t) / {0.6744897501960817**2}, 6) AS lambda FROM nw GROUP BY 1",
 }
 assert math.isclose(0.6744897501960817**2, 0.4549364231195728, rel_tol=1e-9)
 
