@@ -76,6 +76,17 @@ def _each(texts: pa.Array, window: int, phrase: int):
         yield i, j, _Slice(data[off[i] : off[j]], off[i : j + 1] - off[i], i, window, phrase)
 
 
+def _letters(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(letters, place of each word's last letter). A known word is three digits of its number, each from
+    an alphabet of its own, so that no automaton node has more than `base` successors; other words are 0."""
+    known = ids > 0
+    end = np.cumsum(np.where(known, 3, 1))
+    out = np.zeros(int(end[-1]) if len(end) else 0, np.int64)
+    at, k = end[known] - 3, ids[known]
+    out[at], out[at + 1], out[at + 2] = 1 + k % base, 1 + base + k // base % base, 1 + 2 * base + k // (base * base)
+    return out, end - 1
+
+
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
@@ -190,7 +201,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
             raw = texts.to_pylist()
         # the confirmed phrases, as tuples of word numbers, and the confirmed windows, by hash
         vocabulary: dict[bytes, int] = {}
-        machine, w1_known, w2_known, seen = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), [], [], set()
+        keys, w1_known, w2_known, seen = [], [], [], set()
         for i, _, s in parts:
             at = s.windows - s.first_word[s.row[s.windows] - i]
             k = in_sorted(s.row[s.windows].astype(np.int64) << 32 | at, place)
@@ -207,8 +218,12 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
                     hi = int(s.ends[p + phrase - 1] - s.starts[s.first_word[r - i]])
                     lead = len(raw[r]) - len(raw[r].lstrip(b" \t\n\x0b\x0c\r"))
                     key = raw[r][lead + lo : lead + hi].split()
-                    machine.add_word(tuple(vocabulary.setdefault(x, len(vocabulary) + 1) for x in key), len(seen))
+                    keys.append(np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in key]))
         if seen:
+            base = max(2, int(np.ceil((len(vocabulary) + 1) ** (1 / 3))))
+            machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            for x in keys:
+                machine.add_word(tuple(_letters(x, base)[0].tolist()), 1)
             machine.make_automaton()
             w1_known, w2_known = np.concatenate(w1_known), np.concatenate(w2_known)
             by = np.argsort(w1_known)
@@ -220,9 +235,10 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
             for r in range(i, j):
                 a, b = int(s.first_word[r - i]), int(s.first_word[r - i + 1])
                 if b - a >= window:
-                    ends = [e for e, _ in machine.iter(tuple([number(x, 0) for x in raw[r].split()]))]
+                    text_letters, last = _letters(np.array([number(x, 0) for x in raw[r].split()]), base)
+                    ends = [e for e, _ in machine.iter(tuple(text_letters.tolist()))]
                     if ends:
-                        hit[np.array(ends) + (a - phrase + 1)] = True
+                        hit[np.searchsorted(last, ends) + (a - phrase + 1)] = True
             k = hit[s.anchor]
             if not k.any():
                 continue
