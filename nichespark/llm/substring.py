@@ -9,8 +9,8 @@ earlier start) is removed; windows are judged on the input.
    of documents send their distinct phrase hashes, in blocks by hash range, and get back those that
    occur again anywhere.
 2. Confirm. Windows around recurring phrases, one of each kind per shard, are compared by 96-bit
-   hashes in blocks by phrase; shards get back the windows that recur and whether they hold the
-   first start. A hot passage is sent once per shard, however often it occurs.
+   hashes in blocks by phrase; shards get back those of their windows that also start earlier, or
+   again in the shard. A hot passage is sent once per shard, however often it occurs.
 3. Locate. Every shard compiles an Aho-Corasick automaton over words from its confirmed phrases and
    streams its documents through it; each hit is extended to its windows, and all but the first
    start are removed.
@@ -179,6 +179,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
         recurs |= np.bincount(group, weights=again[order]) > 0
         confirmed, first = np.zeros(len(order), bool), np.zeros(len(order), bool)
         confirmed[order], first[order] = recurs[group], head
+        confirmed &= ~first | again  # a shard that only holds the first start has nothing to remove
         at, out = 0, []
         for shard, p in zip(shards_, parts, strict=True):
             i, at = at, at + len(p[0])
@@ -222,8 +223,9 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
         if seen:
             base = max(2, int(np.ceil((len(vocabulary) + 1) ** (1 / 3))))
             machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-            for x in keys:
-                machine.add_word(tuple(_letters(x, base)[0].tolist()), 1)
+            spelled = _letters(np.concatenate(keys), base)[0].reshape(len(keys), -1)
+            for x in spelled.tolist():
+                machine.add_word(tuple(x), 1)
             machine.make_automaton()
             w1_known, w2_known = np.concatenate(w1_known), np.concatenate(w2_known)
             by = np.argsort(w1_known)
