@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -135,6 +136,26 @@ def thaw(value: bytes) -> list[np.ndarray]:
     return out
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: Python workers live on after a task and are used again."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(run):
+    """A function on batches that tidies up when its task ends."""
+
+    def and_then(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return and_then
+
+
 def _and_end(batches):
     """The batches, then None."""
     yield from batches

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that retrieves it.
 THRESHOLD = 0.5
@@ -39,7 +41,7 @@ COMMON = 0.05
 INDEX_ITEMS = 2000
 #: Words of one item and items in all that may be sent to executors; more items need more passes.
 MAX_ITEM_WORDS = 20_000
-KNOWN = 400_000
+KNOWN = 150_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -213,7 +215,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str =
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(list(at), pa.int64())), pa.array(cols[0], item_type), *[pa.array(c, x) for c, x in zip(cols[1:], kinds[1:], strict=True)]], [id_col, item_id, "score", "question_overlap", "answer_overlap", "first_word", "end_word"])
 
         item_type = pa.int64() if ikind == "bigint" else pa.int32() if ikind == "int" else pa.string()
-        found = src.mapInArrow(run, ddl)
+        found = src.mapInArrow(tidied(run), ddl)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, buffers, freeze, scaled, slices, spans_hash, text_array, text_bytes, thaw, without, word_hashes, words
+from .common import bucket_of, buffers, freeze, scaled, slices, spans_hash, text_array, text_bytes, thaw, tidy, without, word_hashes, words
 from .substring import BLOCK, DDL_BLOCK, DDL_REPLY, _rows
 
 ORDER = 3
@@ -76,6 +76,7 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: in
     by_shard = src.groupBy("__shard")
 
     def count(table: pa.Table) -> pa.Table:
+        tidy()
         rows, grams = _grams(text_array(table.column(text)), order, drop)
         own = [_distinct(g, buckets, drop) for g in grams]
         out = []
@@ -101,6 +102,7 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: in
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["n_tokens long", "log_score double", "mean_log_score double"])
 
     def apply(table: pa.Table, replies: pa.Table) -> pa.Table:
+        tidy()
         n_rows = table.num_rows
         row, grams = _grams(text_array(table.column(text)), order, drop)
         got = sorted((thaw(x) for x in replies.column("payload").to_pylist()), key=lambda p: int(p[0][0]))

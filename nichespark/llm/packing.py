@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, without
+from .common import durable, tidied, without
 
 MAX_TOKENS = 1024
 #: With these the token capacity is the one that binds: n pieces of 1 token or one of n^2 cost fill a bin.
@@ -30,7 +30,7 @@ MAX_DOCUMENTS = MAX_TOKENS
 MAX_COST = MAX_TOKENS * MAX_TOKENS
 END = 2
 #: Words whose ids a worker keeps; then it starts anew.
-CACHE = 300_000
+CACHE = 150_000
 #: Pieces of one length that are ranked together.
 RANKED = 65_536
 #: Runs of the plan that are sent to the executors (40 bytes each).
@@ -115,9 +115,10 @@ def tokenize(docs: DataFrame, text: str = "text", id_col: str = "doc_id", tokeni
                     row, piece, start, ids, size = [], [], [], [], 0
             if row:
                 yield flush()
+        enc.known.clear()
 
     src = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string"))
-    out = src.mapInArrow(pieces, f"`{id_col}` {kind.simpleString()}, piece int, start long, length int, ids binary")
+    out = src.mapInArrow(tidied(pieces), f"`{id_col}` {kind.simpleString()}, piece int, start long, length int, ids binary")
     return out
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, without
+from .common import mix, tidied, without
 from .labelled import SAMPLE, remainder, sample
 
 HELD_OUT = (5, 0)
@@ -36,7 +36,7 @@ PENALTY = 1.0
 #: Share of a weight that is its own; the rest is the mean weight.
 OWN = 0.25
 PASSES = 12
-KNOWN = 300_000
+KNOWN = 150_000
 RESULTS = ("held_out", "score", "predicted")
 _RUNS = re.compile(r"(.)\1{3,}")
 
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([ngrams(t, codes).tobytes() for t in b.column(0).to_pylist()], pa.binary()), b.column(1)], ["grams", "y"])
 
-    rows = sample(docs, labels, label, *HELD_OUT, text, id_col, limit).mapInArrow(extract, "grams binary, y int").collect()  # at most `limit` rows
+    rows = sample(docs, labels, label, *HELD_OUT, text, id_col, limit).mapInArrow(tidied(extract), "grams binary, y int").collect()  # at most `limit` rows
     rows.sort(key=lambda r: (zlib.crc32(bytes(r.grams)), bytes(r.grams), r.y))
     return train([np.frombuffer(bytes(r.grams), np.int32) for r in rows], np.array([r.y for r in rows], int))
 
@@ -167,6 +167,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
                 s = 1 / (1 + np.exp(-np.clip(model.shift + model.slope * z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, "score"])
 
-    out = base.mapInArrow(run, ddl)
+    out = base.mapInArrow(tidied(run), ddl)
     held = F.coalesce(remainder(id_col, HELD_OUT[0]) == HELD_OUT[1], F.lit(False))
     return out.select(*[F.col(f"`{c}`") for c in base.columns], held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _and_end, connected_components, durable, local_stars, without
+from .common import _and_end, connected_components, durable, local_stars, tidied, without
 
 SEED = 42
 SHINGLE = 3
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], [id_col, "fp"])
 
     src = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text}`").cast("string"))
-    return src.mapInArrow(run, f"`{id_col}` long, fp long")
+    return src.mapInArrow(tidied(run), f"`{id_col}` long, fp long")
 
 
 def _pairs(fp: np.ndarray, dense: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,10 +172,10 @@ def similar_links(classes: DataFrame, max_bits: int = MAX_BITS, group: int = GRO
         hot = hot.withColumn("key", F.xxhash64("t", "key", "__b", more)).withColumn("t", F.col("t") + F.lit(len(tables)) * (F.col("__b") + 1)).drop("__b")
         return [cold, hot]
 
-    rows = classes.select("fp", "node").mapInArrow(table_rows, "t int, key long, fp long, node long, dense binary")
+    rows = classes.select("fp", "node").mapInArrow(tidied(table_rows), "t int, key long, fp long, node long, dense binary")
     free = [[x for x in range(64) if x not in set(own)] for own in tables]
     dealt = reduce(DataFrame.unionByName, deal(rows, free))
-    return dealt.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(link, "a long, b long").distinct()
+    return dealt.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(tidied(link), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max_bits: int = MAX_BITS, group: int = GROUP) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, buffers, freeze, gram_hashes, in_sorted, scaled, slices, text_array, text_bytes, thaw, without, word_hashes, words
+from .common import bucket_of, buffers, freeze, gram_hashes, in_sorted, scaled, slices, text_array, text_bytes, thaw, tidy, without, word_hashes, words
 
 WINDOW = 20
 PHRASE = 8
@@ -112,6 +112,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     by_shard = src.groupBy("__shard")
 
     def sample(table: pa.Table) -> pa.Table:
+        tidy()
         shard = table.column("__shard")[0].as_py()
         _, _, texts = _ordered(table, id_col, text)
         found = []
@@ -140,6 +141,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     def confirm_blocks(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not replies.num_rows or not table.num_rows:
             return _rows([], BLOCK)
+        tidy()
         shard = replies.column("shard")[0].as_py()
         known = np.sort(np.concatenate([thaw(x)[0] for x in replies.column("payload").to_pylist()]))
         _, ids, texts = _ordered(table, id_col, text)
@@ -192,6 +194,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out_schema] + ["n_words long", "n_removed long", "removed array<struct<`start`:int,`end`:int>>", "kept_text string"])
 
     def locate(table: pa.Table, replies: pa.Table) -> pa.Table:
+        tidy()
         rows, _, texts = _ordered(table, id_col, text)
         found = [thaw(x) for x in replies.column("payload").to_pylist()]
         row, start, first = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, without
+from .common import durable, tidied, without
 from .labelled import SAMPLE, remainder, sample
 
 HELD_OUT = (3, 1)
@@ -41,7 +41,7 @@ COST_ALIKE, COST_SYMBOL, COST_DROP, COST_SPACE, COST_LONGER, COST_RUN = 0.7, 8.0
 #: A lexicon entry marks this many labelled toxic documents at least, by this log ratio at least.
 LEAST_DOCS, LEAST_RATIO = 4, 3.0
 BEGINNINGS = (3, 4, 5, 6)
-KNOWN = 300_000
+KNOWN = 150_000
 CLASSES = 28
 RESULTS = ("held_out", "score", "predicted")
 
@@ -87,7 +87,7 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], ["k", "n"])
 
-    rows = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # at most CLASSES**3
+    rows = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(tidied(count), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # at most CLASSES**3
     n = np.zeros(CLASSES**3)
     for r in rows:
         n[r.k] = r.n
@@ -268,13 +268,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
                     n.setdefault(f, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([v[1] for v in n.values()], pa.int64()), pa.array([v[0] for v in n.values()], pa.int64())], ["mark", "toxic", "clean"])
 
-    rows = durable(sample(docs, labels, label, *HELD_OUT, text, id_col, limit).mapInArrow(restore, "text string, y int"), "toxic")
+    rows = durable(sample(docs, labels, label, *HELD_OUT, text, id_col, limit).mapInArrow(tidied(restore), "text string, y int"), "toxic")
     sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     model.n_clean, model.n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not model.n_clean or not model.n_toxic:
         return model
     ratio = F.log((F.col("toxic") + 0.5) / (model.n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (model.n_clean + 1))
-    found = rows.mapInArrow(count, "mark string, toxic long, clean long").groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = rows.mapInArrow(tidied(count), "mark string, toxic long, clean long").groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     model.lexicon = {r.mark: (r.toxic, r.clean) for r in found.where((F.col("toxic") >= LEAST_DOCS) & (ratio >= LEAST_RATIO)).collect()}
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +302,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
             new = pa.array(texts if keep_restored else [None] * len(texts), pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, new, pa.array([judge(t) for t in texts], pa.float64())], [*b.schema.names, "restored", "score"])
 
-    out = base.mapInArrow(run, ddl)
+    out = base.mapInArrow(tidied(run), ddl)
     held = F.coalesce(remainder(id_col, HELD_OUT[0]) == HELD_OUT[1], F.lit(False))
     cols = [F.col(f"`{c}`") for c in base.columns] + ([F.col("restored")] if keep_restored else [])
     return out.select(*cols, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
