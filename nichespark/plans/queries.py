@@ -292,12 +292,12 @@ def wald_full(spark, sf):
 
 
 def mixed_fit(spark, sf):
-    f = _fitted(spark, sf, random="intercept", re_maxit=3).fits[0]
+    f = _fitted(spark, sf, random="intercept").fits[0]
     return spark.createDataFrame([(k, round(v, 4)) for k, v in f.tau2.items()], "re_group string, tau2 double")
 
 
 def satterthwaite_df(spark, sf):
-    f = _fitted(spark, sf, random="intercept", re_maxit=2).fits[0]
+    f = _fitted(spark, sf, random="intercept").fits[0]
     return spark.createDataFrame([(f.design.terms[i].covariate, round(float(d), 2)) for i, d in zip(f.sel, f.df, strict=True)], "covariate string, df double")
 
 
