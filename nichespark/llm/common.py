@@ -53,7 +53,38 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._nichespark_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a durable table that nothing reads any more."""
+    path = getattr(df, "_nichespark_path", None)
+    if path:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Keys joined by broadcast in `lookup`: so many at most, of more than so many rows each.
+HOT_KEYS, HOT_ROWS = 1000, 20_000
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", least: int = HOT_ROWS) -> DataFrame:
+    """left joined with right, which has at most one row for a key; left is read twice and should be a stored table.
+
+    The rows of the HOT_KEYS most frequent keys of left stay where they are and get right's rows for
+    these keys (at most HOT_KEYS) by broadcast. The others are shuffled: no key is left that holds more
+    than a HOT_KEYS-th of all rows, unless it has no more than `least`.
+    """
+    top = left.groupBy(*keys).count().where(F.col("count") > least).orderBy(F.desc("count")).limit(HOT_KEYS).drop("count").collect()
+    if not top:
+        return left.join(right, keys, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame([tuple(r) for r in top], left.select(*keys).schema).withColumn("__hot", F.lit(True)))
+    marked = left.join(hot, keys, "left")
+    some = F.broadcast(right.join(hot.drop("__hot"), keys, "left_semi"))
+    return marked.where("__hot").drop("__hot").join(some, keys, how).unionByName(marked.where("__hot is null").drop("__hot").join(right, keys, how))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -260,29 +291,39 @@ def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, component): for every linked node the smallest node it can reach.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) over a link table that stays
-    distributed; each round's table is written to the shared folder. Nodes without links are absent.
+    distributed; each round's table is written to the shared folder and the one before deleted. The
+    links of nodes with many of them are joined where they lie (`lookup`). Nodes without links are absent.
     """
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = durable(e, "links")
-    stamp = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    def stamp(t: DataFrame):
+        """(links, a hash of all, links of the node with the most)"""
+        ends = t.select(F.explode(F.array("u", "v")).alias("x"), F.when(F.col("x") == F.col("u"), F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        return ends.groupBy("x").agg(F.count("*").alias("n"), F.sum("h").alias("h"), F.count("h").alias("own")).agg(F.sum("own"), F.sum("h"), F.max("n")).first()
+
+    def joined(left: DataFrame, low: DataFrame, most: int) -> DataFrame:
+        return lookup(left, low, ["u"], least=hot_rows) if most > hot_rows else left.join(low, "u")
+
     seen = stamp(e)
     for _ in range(rounds):
         if not seen[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = joined(both, low, seen[2]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(low, "u")
+        near = joined(large, low, seen[2])
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
         small = small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        e = durable(small, "links")
+        old, e = e, durable(small, "links")
+        discard(old)
         now = stamp(e)
-        if now == seen:
+        if tuple(now)[:2] == tuple(seen)[:2]:
             break
         seen = now
     else:

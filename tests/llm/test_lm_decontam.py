@@ -43,27 +43,50 @@ def test_scores_match_brute_force(spark, order, shard_bytes):
     assert lm.score(df.limit(0), order=order).count() == 0
 
 
-def test_block_max_retrieves_all_above_the_threshold():
+def plain_index(items):
+    """BM25 impacts as shares of each item's score, from the formula: {item: {word: impact}}."""
+    bags = {i: decontam.item_words(t) for i, t in items if decontam.item_words(t)}
+    n, mean = len(bags), sum(map(len, bags.values())) / max(1, len(bags))
+    df = Counter(w for b in bags.values() for w in set(b))
+    out = {}
+    for i, b in bags.items():
+        tf = Counter(b)
+        x = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(b) / mean)) for w in tf}
+        out[i] = (len(b), {w: v / sum(x.values()) for w, v in x.items()})
+    return out
+
+
+def plain_matches(text, index, threshold):
+    """{item: best score over passages} of the items retrieved."""
+    w, best = decontam.item_words(text), {}
+    for i, (n, x) in index.items():
+        half = 4 ** decontam.level(n)
+        for s in range(0, max(1, -(-len(w) // half) * half - half), half):
+            score = sum(x.get(t, 0.0) for t in set(w[s : s + 2 * half]))
+            if score >= threshold:
+                best[i] = max(best.get(i, 0.0), score)
+    return best
+
+
+@pytest.mark.parametrize(("part_words", "limit"), [(2_000_000, None), (700, 50)])
+def test_block_max_retrieves_all_above_the_threshold(spark, monkeypatch, part_words, limit):
+    if limit:
+        plain = decontam.Index.matches
+        monkeypatch.setattr(decontam.Index, "matches", lambda self, ids, off=None: plain(self, ids, off, limit))
     rng = random.Random(9)
     voc = [f"w{i}" for i in range(120)]
-    items = [(i, " ".join(rng.choices(voc, k=rng.randint(1, 30)))) for i in range(60)]
-    index = decontam.Index(items, 0.3)
+    items = [(i, " ".join(rng.choices(voc, k=rng.choice([1, 5, 16, 17, 30, 64, 90])))) for i in range(60)]
+    own = plain_index(items)
+    texts = []
     for _ in range(60):
-        text = rng.choices([*voc, "zz"], k=rng.randint(1, 200))
-        a = rng.choice(items)[1].split()
-        text[3:3] = a
-        ids = [index.vocabulary.get(w, len(index.vocabulary)) for w in text]
-        import numpy as np
-
-        got = {m[1] for m in index.matches(np.array(ids))}
-        half, want = index.longest, set()
-        for s in range(0, max(1, -(-len(text) // half) * half - half), half):
-            bag = set(text[s : s + 2 * half])
-            for k, (i, _) in enumerate(items):
-                x = sum(x for w in bag if w in index.vocabulary for j, x in index.postings[index.vocabulary[w]] if j == k)
-                if x >= 0.3:
-                    want.add(i)
-        assert got == want
+        text = rng.choices([*voc, "zz"], k=rng.randint(1, 400))
+        text[3:3] = rng.choice(items)[1].split()
+        texts.append(" ".join(text))
+    got = [set() for _ in texts]
+    for part in decontam.indexes(spark.createDataFrame(items, "item_id long, text string"), threshold=0.3, part_words=part_words):
+        for k, i, *_ in decontam._search(part, texts, decontam._Numbers(part.vocabulary)):
+            got[k].add(i)
+    assert got == [set(plain_matches(t, own, 0.3)) for t in texts]
 
 
 def test_leaks(spark):
@@ -88,7 +111,24 @@ def test_leaks(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.leaks(docs, bench).collect()
     assert {(r.doc_id, r.item_id) for r in got if r.item_id != 92} == planted
+    key = lambda rows: sorted(map(tuple, rows), key=str)
+    for part_words in (2000, 200):
+        assert key(decontam.leaks(docs, bench, part_words=part_words).collect()) == key(got)
     left = {r.doc_id for r in decontam.decontaminate(docs, bench).collect()}
-    assert left >= {500, 501, None} and not left & {d for d, _ in planted if d is not None}
+    assert left >= {500, 501} and not left & {d for d, _ in planted}
+    assert {r.doc_id for r in decontam.decontaminate(docs, bench, part_words=100).collect()} == left
     assert decontam.leaks(docs.limit(0), bench).count() == 0
     assert decontam.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_very_long_items_and_texts(spark):
+    """An item of 30,000 words matches, and changes what is found for others in no way but through the statistics of all items."""
+    rng = random.Random(5)
+    long = " ".join(f"l{rng.randint(0, 9000)}" for _ in range(30_000)) + ". " + " ".join(f"m{i}" for i in range(50))
+    items = [(1, long), (2, "what is the name of the tallest bird in the quiet old zoo? the grey heron of the north")]
+    noise = " ".join(f"n{rng.randint(0, 999)}" for _ in range(150_000))
+    rows = [(10, "a b " + long.upper() + " c"), (11, noise + " " + items[1][1]), (12, noise), (12, items[1][1]), (13, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()} == {(10, 1), (11, 2), (12, 2)}
+    left = decontam.decontaminate(docs, bench).collect()
+    assert sorted((r.doc_id, r.text is None) for r in left) == [(12, False), (13, True)]
