@@ -9,16 +9,17 @@ earlier start) is removed; windows are judged on the input.
    of documents send their distinct phrase hashes, in blocks by hash range, and get back those that
    occur again anywhere.
 2. Confirm. Windows around recurring phrases, one of each kind per shard, are compared by 96-bit
-   hashes in blocks by phrase; shards get back those of their windows that also start earlier, or
-   again in the shard. A hot passage is sent once per shard, however often it occurs.
-3. Locate. Every shard compiles an Aho-Corasick automaton over words from its confirmed phrases and
-   streams its documents through it; each hit is extended to its windows, and all but the first
-   start are removed.
+   hashes in blocks by these hashes; shards get back those of their windows that recur anywhere, and
+   which of them is the first of all. A hot passage is sent once per shard, however often it occurs.
+3. Locate. Windows in a row form passages. Every shard compiles an Aho-Corasick automaton over words
+   from the phrases of its passages, spaced so that every window of a passage holds one, and streams
+   all its documents through it; each hit is extended word by word along the passages that it may
+   belong to, and where a whole window agrees that is an occurrence. All but the first are removed.
 
 Texts are shuffled once (by shard) and everything else is a few bytes per phrase.
 
-Cases: null text has no words; texts shorter than a window lose nothing; rows with equal ids are
-ordered by text, and null ids come before all others; equal rows are ordered by place, so all but one
+Cases: null text has no words; texts shorter than a window lose nothing; very long texts go through
+the automaton whole; rows with equal ids are ordered by text, and null ids come before all others; equal rows are ordered by place, so all but one
 lose what they share; an empty table gives an empty result; columns named like a result are replaced.
 """
 
@@ -87,6 +88,81 @@ def _letters(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     return out, end - 1
 
 
+class Passages:
+    """An automaton over the phrases of some passages, each a run of words whose windows all recur."""
+
+    def __init__(self, passages: list[list[bytes]], window: int, phrase: int):
+        self.window, self.phrase = window, phrase
+        self.vocabulary: dict[bytes, int] = {}
+        number = self.vocabulary.setdefault
+        ids = [np.array([number(x, len(self.vocabulary) + 1) for x in p], np.int32) for p in passages]
+        self.words = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        size = np.array([len(p) for p in ids], np.int64)
+        self.end = np.repeat(np.cumsum(size), size)  # of the passage of each word
+        self.begin = self.end - np.repeat(size, size)
+        # each window of a passage holds one of the phrases that begin `window - phrase + 1` words apart
+        place = np.flatnonzero(((np.arange(len(self.words)) - self.begin) % (window - phrase + 1) == 0) & (np.arange(len(self.words)) + phrase <= self.end))
+        self.base = max(2, int(np.ceil((len(self.vocabulary) + 1) ** (1 / 3))))
+        keys = self.words[place[:, None] + np.arange(phrase)]
+        own, inv = np.unique(keys, axis=0, return_inverse=True) if len(place) else (keys, np.zeros(0, np.int64))
+        order = np.argsort(inv.reshape(-1), kind="stable")
+        self.place, self.first = place[order], np.searchsorted(inv.reshape(-1)[order], np.arange(len(own) + 1))
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        if len(own):
+            for k, x in enumerate(_letters(own.reshape(-1), self.base)[0].reshape(len(own), -1).tolist()):
+                self.machine.add_word(tuple(x), k)
+            self.machine.make_automaton()
+
+    def numbers(self, text: list[bytes]) -> np.ndarray:
+        get = self.vocabulary.get
+        return np.array([get(x, 0) for x in text], np.int32)
+
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, phrase) of every occurrence of a phrase in a text."""
+        if not len(self.place) or len(ids) < self.window:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        letters, last = _letters(ids.astype(np.int64), self.base)
+        found = list(self.machine.iter(tuple(letters.tolist())))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        e, k = np.array(found, np.int64).T
+        return np.searchsorted(last, e) - self.phrase + 1, k
+
+    def windows(self, ids: np.ndarray, at: np.ndarray, key: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+        """First words of the windows of a text that agree with a passage around one of the hits."""
+        n = self.first[key + 1] - self.first[key]
+        total, out, i = np.cumsum(n), [], 0
+        back, w = self.window - self.phrase, self.window
+        offset = np.arange(-back, w)
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + block, "right")))
+            m = n[i:j]
+            entry = np.repeat(self.first[key[i:j]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            for lo in range(0, len(entry), block):  # a phrase of very many passages
+                p = self.place[entry[lo : lo + block]]
+                x = np.repeat(at[i:j], m)[lo : lo + block]
+                u, v = x[:, None] + offset, p[:, None] + offset
+                ok = (u >= 0) & (u < len(ids)) & (v >= self.begin[p][:, None]) & (v < self.end[p][:, None])
+                same = ok & (ids[np.where(ok, u, 0)] == self.words[np.where(ok, v, 0)])
+                run = np.zeros((len(p), len(offset) + 1), np.int32)
+                np.cumsum(same, axis=1, out=run[:, 1:])
+                hit, shift = np.nonzero(run[:, w:] - run[:, :-w] == w)
+                out.append(x[hit] + offset[shift])
+            i = j
+        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def runs(row: np.ndarray, start: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """(row, first word, end word) of the passages that windows in a row form."""
+    if not len(row):
+        return []
+    order = np.lexsort((start, row))
+    row, start = row[order].astype(np.int64), start[order].astype(np.int64)
+    head = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(start) != 1)]))
+    tail = np.append(head[1:], len(row)) - 1
+    return list(zip(row[head].tolist(), start[head].tolist(), (start[tail] + window).tolist(), strict=True))
+
+
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
@@ -150,17 +226,17 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
             k = in_sorted(s.anchor_hash, known)
             if k.any():
                 w = s.windows[k]
-                parts.append((s.anchor_hash[k], gram_hashes(s.h, window, 2)[w], (gram_hashes(s.h, window, 3)[w] >> np.uint64(32)).astype(np.uint32), s.row[w], w - s.first_word[s.row[w] - i]))
+                parts.append((gram_hashes(s.h, window, 2)[w], (gram_hashes(s.h, window, 3)[w] >> np.uint64(32)).astype(np.uint32), s.row[w], w - s.first_word[s.row[w] - i]))
         if not parts:
             return _rows([], BLOCK)
-        a, w1, w2, row, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        w1, w2, row, start = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((w2, w1))  # stable: the first of equal windows is the first in the shard
         same = np.zeros(len(order), bool)
         same[1:] = (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])
         lead = np.flatnonzero(~same)
         again = np.diff(np.append(lead, len(order))) > 1
         keep = order[lead]
-        b = bucket_of(a[keep], buckets)
+        b = bucket_of(w1[keep], buckets)  # by window, so that a phrase with many continuations is no hot bucket
         by = np.lexsort((keep, b))  # within a bucket by place
         keep, again, b = keep[by], again[by], b[by]
         cut, out = np.searchsorted(b, np.arange(buckets + 1)), []
@@ -181,7 +257,6 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
         recurs |= np.bincount(group, weights=again[order]) > 0
         confirmed, first = np.zeros(len(order), bool), np.zeros(len(order), bool)
         confirmed[order], first[order] = recurs[group], head
-        confirmed &= ~first | again  # a shard that only holds the first start has nothing to remove
         at, out = 0, []
         for shard, p in zip(shards_, parts, strict=True):
             i, at = at, at + len(p[0])
@@ -198,70 +273,25 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
         rows, _, texts = _ordered(table, id_col, text)
         found = [thaw(x) for x in replies.column("payload").to_pylist()]
         row, start, first = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool))
-        place = np.sort(row.astype(np.int64) << 32 | start)
         owned = np.sort((row.astype(np.int64) << 32 | start)[first])
-        raw, parts = None, list(_each(texts, window, phrase)) if len(place) else []
-        if len(place):
-            raw = texts.to_pylist()
-        # the confirmed phrases, as tuples of word numbers, and the confirmed windows, by hash
-        vocabulary: dict[bytes, int] = {}
-        keys, w1_known, w2_known, seen = [], [], [], set()
-        for i, _, s in parts:
-            at = s.windows - s.first_word[s.row[s.windows] - i]
-            k = in_sorted(s.row[s.windows].astype(np.int64) << 32 | at, place)
-            if not k.any():
-                continue
-            w = s.windows[k]
-            w1_known.append(gram_hashes(s.h, window, 2)[w])
-            w2_known.append(gram_hashes(s.h, window, 3)[w] >> np.uint64(32))
-            for p in np.unique(s.anchor[k]).tolist():
-                r = int(s.row[p])
-                if s.h[p : p + phrase].tobytes() not in seen:
-                    seen.add(s.h[p : p + phrase].tobytes())
-                    lo = int(s.starts[p] - s.starts[s.first_word[r - i]])
-                    hi = int(s.ends[p + phrase - 1] - s.starts[s.first_word[r - i]])
-                    lead = len(raw[r]) - len(raw[r].lstrip(b" \t\n\x0b\x0c\r"))
-                    key = raw[r][lead + lo : lead + hi].split()
-                    keys.append(np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in key]))
-        if seen:
-            base = max(2, int(np.ceil((len(vocabulary) + 1) ** (1 / 3))))
-            machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-            spelled = _letters(np.concatenate(keys), base)[0].reshape(len(keys), -1)
-            for x in spelled.tolist():
-                machine.add_word(tuple(x), 1)
-            machine.make_automaton()
-            w1_known, w2_known = np.concatenate(w1_known), np.concatenate(w2_known)
-            by = np.argsort(w1_known)
-            w1_known, w2_known = w1_known[by], w2_known[by]
-        number = vocabulary.get
+        raw = texts.to_pylist()
         gone: dict[int, np.ndarray] = {}
-        for i, j, s in parts if seen else []:
-            hit = np.zeros(len(s.h), bool)
-            for r in range(i, j):
-                a, b = int(s.first_word[r - i]), int(s.first_word[r - i + 1])
-                if b - a >= window:
-                    text_letters, last = _letters(np.array([number(x, 0) for x in raw[r].split()]), base)
-                    ends = [e for e, _ in machine.iter(tuple(text_letters.tolist()))]
-                    if ends:
-                        hit[np.searchsorted(last, ends) + (a - phrase + 1)] = True
-            k = hit[s.anchor]
-            if not k.any():
-                continue
-            w = s.windows[k]
-            w1, w2 = gram_hashes(s.h, window, 2)[w], gram_hashes(s.h, window, 3)[w] >> np.uint64(32)
-            at = np.minimum(np.searchsorted(w1_known, w1), len(w1_known) - 1)
-            k = (w1_known[at] == w1) & (w2_known[at] == w2)
-            k &= ~in_sorted(s.row[w].astype(np.int64) << 32 | (w - s.first_word[s.row[w] - i]), owned)
-            if not k.any():
-                continue
-            edge = np.zeros(len(s.h) + 1, np.int32)
-            np.add.at(edge, w[k], 1)
-            np.add.at(edge, w[k] + window, -1)
-            cover = np.cumsum(edge[:-1]) > 0
-            for r in np.unique(s.row[w[k]]).tolist():
-                gone[r] = cover[s.first_word[r - i] : s.first_word[r - i + 1]]
+        if len(row):
+            split = {r: raw[r].split() for r in np.unique(row).tolist()}
+            passages = Passages([split[r][a:b] for r, a, b in runs(row, start, window)], window, phrase)
+            del split
+            for r, t in enumerate(raw):
+                ids = passages.numbers(t.split())
+                at = passages.windows(ids, *passages.hits(ids))
+                at = at[~in_sorted(r << 32 | at, owned)]
+                if len(at):
+                    edge = np.zeros(len(ids) + 1, np.int32)
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + window, -1)
+                    gone[r] = np.cumsum(edge[:-1]) > 0
+            del passages
         n_words, n_removed, spans, kept = [], [], [], []
-        for r, t in enumerate(raw if raw is not None else texts.to_pylist()):
+        for r, t in enumerate(raw):
             own = t.split()
             n_words.append(len(own))
             g = gone.get(r)

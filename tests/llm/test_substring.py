@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from nichespark.llm.substring import dedup_substrings
+from nichespark.llm.substring import Passages, dedup_substrings, runs
 
 
 def brute(rows, window):
@@ -44,5 +44,31 @@ def test_matches_brute_force(spark, window, phrase, shard_bytes):
         assert sum(s.end - s.start for s in r.removed) == r.n_removed and r.source == "z"
 
 
+def test_occurrences_come_from_the_hits():
+    rng = random.Random(8)
+    voc = [b"w%d" % i for i in range(6)]
+    passages = [[rng.choice(voc) for _ in range(rng.randint(6, 30))] for _ in range(20)]
+    p = Passages(passages, 6, 3)
+    known = {tuple(x[i : i + 6]) for x in passages for i in range(len(x) - 5)}
+    found = 0
+    for _ in range(40):
+        text = [rng.choice(voc) for _ in range(50)]
+        text[20:20] = rng.choice(passages)[1:]
+        ids = p.numbers(text)
+        want = [i for i in range(len(text) - 5) if tuple(text[i : i + 6]) in known]
+        at, key = p.hits(ids)
+        assert p.windows(ids, at, key).tolist() == want and p.windows(ids, at, key, block=2).tolist() == want
+        assert p.windows(ids, at[:0], key[:0]).tolist() == []  # no hits, no occurrences
+        found += len(want)
+    assert found > 200
+
+
+def test_runs():
+    import numpy as np
+
+    assert runs(np.array([1, 0, 1, 1]), np.array([5, 7, 4, 9]), 3) == [(0, 7, 10), (1, 4, 8), (1, 9, 12)]
+    assert runs(np.zeros(0, np.int32), np.zeros(0, np.int32), 3) == []
+
+
 def test_empty_table(spark):
     assert dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
