@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation.
 
 1. A character trigram model is counted over all texts.
-2. Spans that a channel may have altered (look-alike digits and symbols among letters, letters set
+2. Spans that a channel may have altered (look-alike digits and symbols among or beside letters, letters set
    apart by spaces or dots, letters repeated three times or more) become lattices: every character
    offers the letters it may stand for, at a cost, and itself; Viterbi search under the character
    model picks the reading. Other text has one reading and stays as it is.
@@ -12,8 +12,9 @@
 Fitting uses a bounded sample of labelled rows (labelled.SAMPLE); the character model uses every row.
 
 Cases: null texts are empty and take the score of a text without marks; without labelled rows of
-both kinds every score is 0; repeated rows and ids are scored row by row; a null id isn't held out;
-an empty table gives an empty result; columns named like a result are replaced.
+both kinds every score is 0; very long texts are read and scored whole; of equally likely readings of a
+span the first in the order of the alphabet is taken, and equal texts have equal scores; repeated rows and
+ids are scored row by row; a null id isn't held out; an empty table gives an empty result; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ RESULTS = ("held_out", "score", "predicted")
 
 _L, _S = r"[^\W\d_]", r"[0-9@$!|+]"
 _GAP = r"[ .\-_*~]"
-_SUSPECT = re.compile(rf"{_L}{_S}+{_L}|(?<!\S){_S}+{_L}|({_L})\1\1|(?<![^\W_])(?:{_L}|{_S}){_GAP}(?:{_L}|{_S}){_GAP}(?:{_L}|{_S})(?![^\W_])")
+_SUSPECT = re.compile(rf"{_L}{_S}+{_L}|{_L}[0-9@$]+(?!\w)|(?<!\S){_S}+{_L}|({_L})\1\1|(?<![^\W_])(?:{_L}|{_S}){_GAP}(?:{_L}|{_S}){_GAP}(?:{_L}|{_S})(?![^\W_])")
 _SPACED = re.compile(rf"(?:{_L}|{_S})(?:{_GAP}(?:{_L}|{_S})(?![^\W_]))+")
 _TOKEN = re.compile(r"\S+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -135,7 +136,11 @@ def decode(span: str, model: np.ndarray, spaced: bool = False) -> str:
                 if (x, y) not in new or total < new[x, y][0]:
                     new[x, y] = (total, state, s)
         best = new
-    state = min((v[0] + float(model[a, b, 0]), id(v), v) for (a, b), v in best.items())[2]
+    least = min(v[0] + float(model[a, b, 0]) for (a, b), v in best.items())
+    return min(_read(v) for (a, b), v in best.items() if v[0] + float(model[a, b, 0]) == least)
+
+
+def _read(state: tuple | None) -> str:
     out = []
     while state is not None:
         out.append(state[2])
