@@ -5,10 +5,12 @@ digits, punctuation, whether the word repeats the one before). The indicator of
 by the logarithm of its count ratio between the classes; a linear hinge-loss model is fitted by dual
 coordinate descent and drawn towards its mean weight, and a logistic curve turns margins into scores.
 
-Fitting uses a bounded sample of labelled rows (labelled.SAMPLE); every row is scored whole.
+Fitting uses a bounded sample of labelled rows (labelled.SAMPLE), whose n-gram numbers one executor task
+holds while it fits; only the weights come to the driver. Every row is scored whole.
 
-Cases: null texts are empty; texts without words have no n-grams and take the score of the bias;
-without labelled rows of both kinds every score is 0.5; repeated rows and ids are scored row by row;
+Cases: null texts are empty; texts without words have no n-grams and take the score of the bias; very long
+texts and words are read to their end; equal texts have equal scores, and the order of training rows with
+equal n-grams doesn't matter; without labelled rows of both kinds every score is 0.5; repeated rows and ids are scored row by row;
 a null id isn't held out; an empty table gives an empty result; columns named like a result are replaced.
 """
 
@@ -44,7 +46,7 @@ _RUNS = re.compile(r"(.)\1{3,}")
 def shape(token: bytes) -> str:
     """A token with its letters and digits folded and runs cut to three."""
     t = token.decode("utf-8", "replace")
-    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in t[:200])
+    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in t)
     return _RUNS.sub(r"\1\1\1", re.sub(r"([Aa0])\1+", r"\1", out))
 
 
@@ -89,16 +91,17 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: np.ndarray, y: np.nd
     """min |w|^2/2 + sum cost_i max(0, 1 - y_i (w.x_i + b)); x_i has values[j]/sqrt(n_i) at each j of rows[i] and 1 for the bias."""
     w, b, rng = np.zeros(len(values)), 0.0, np.random.Generator(np.random.PCG64(seed))
     alpha = np.zeros(len(rows))
-    x = [values[r] / max(1.0, np.sqrt(len(r))) for r in rows]
-    norm = np.array([float(v @ v) + 1.0 for v in x])
+    root = [max(1.0, float(np.sqrt(len(r)))) for r in rows]
+    norm = np.array([float(values[r] @ values[r]) / k**2 + 1.0 for r, k in zip(rows, root, strict=True)])
     for _ in range(passes):
         worst = 0.0
         for i in rng.permutation(len(rows)).tolist():
-            g = y[i] * (float(w[rows[i]] @ x[i]) + b) - 1.0
+            x = values[rows[i]] / root[i]
+            g = y[i] * (float(w[rows[i]] @ x) + b) - 1.0
             step = min(max(alpha[i] - g / norm[i], 0.0), cost[i]) - alpha[i]
             if step:
                 alpha[i] += step
-                w[rows[i]] += step * y[i] * x[i]
+                w[rows[i]] += step * y[i] * x
                 b += step * y[i]
                 worst = max(worst, abs(step))
         if worst < 1e-4:
@@ -146,9 +149,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([ngrams(t, codes).tobytes() for t in b.column(0).to_pylist()], pa.binary()), b.column(1)], ["grams", "y"])
 
-    rows = sample(docs, labels, label, *HELD_OUT, text, id_col, limit).mapInArrow(tidied(extract), "grams binary, y int").collect()  # at most `limit` rows
-    rows.sort(key=lambda r: (zlib.crc32(bytes(r.grams)), bytes(r.grams), r.y))
-    return train([np.frombuffer(bytes(r.grams), np.int32) for r in rows], np.array([r.y for r in rows], int))
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for b in batches:
+            rows += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+        rows.sort(key=lambda r: (zlib.crc32(r[0]), r[0], r[1]))
+        m = train([np.frombuffer(g, np.int32) for g, _ in rows], np.array([y for _, y in rows], int))
+        yield pa.RecordBatch.from_arrays([pa.array([None if m.weights is None else m.weights.tobytes()], pa.binary()), *[pa.array([x], pa.float64()) for x in (m.bias, m.slope, m.shift)]], ["weights", "bias", "slope", "shift"])
+
+    rows = sample(docs, labels, label, *HELD_OUT, text, id_col, limit).mapInArrow(tidied(extract), "grams binary, y int")
+    # at most `limit` rows meet in one task
+    got = rows.repartition(1).mapInArrow(tidied(learn), "weights binary, bias double, slope double, shift double").first()
+    return Model(None if got is None or got.weights is None else np.frombuffer(bytes(got.weights)), *((got.bias, got.slope, got.shift) if got else ()))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
