@@ -96,6 +96,6 @@ def test_scores(spark, docs, name, modulus, rest, threshold):
 
 
 def test_op8(spark, docs):
-    got = {r.doc_id: (r.n_tokens, r.log_score) for r in rows(spark, "op8_lm")}
+    got = {r.doc_id: (r.n_tokens, r.log_sum) for r in rows(spark, "op8_lm")}
     for i, n, s in lm_brute(docs, lm.ORDER, lm.ALPHA, lm.MIN_COUNT):
         assert got[i][0] == n and abs(got[i][1] - s) < 1e-4 * (1 + abs(s))
