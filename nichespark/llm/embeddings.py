@@ -1,17 +1,20 @@
 """Embedding near-duplicates: random-hyperplane sign hashing in several tables, exact cosine, components.
 
-Vectors that are equal are one class. A class gets a code of `bits` signs in each of several tables;
-classes with equal codes meet, and cosines are computed in double precision. A pair that meets in
-several tables counts in the first one only, so link counts are sums and no pair is ever stored;
-groups hand on a spanning star of their links. Large groups are compared in tiles of TILE rows a
-side, each tile a task of its own, which keeps every link and bounds every task.
+Vectors that are equal are one class. A class gets a code of `bits` signs in each of several tables, and
+classes with equal codes meet. They meet in two steps. First the signs of all tables alone are shuffled (a
+few dozen bytes a row): a class goes on if it has a partner in its group that differs in few enough signs
+(SLACK deviations above the mean at the threshold, which leaves out one true pair in 10**11) and that it
+didn't meet in an earlier table. Then the vectors of those that go on are fetched, and cosines are computed
+in double precision. A pair that meets in several tables counts in the first one only, so link counts are
+sums and no pair is ever stored; groups hand on a spanning star of their links. Large groups are compared in
+tiles of TILE rows a side, each tile a task of its own, which keeps every link and bounds every task.
 
 The number of bits grows with the logarithm of the input and the number of tables follows from the
 recall wanted at the threshold itself (pairs above it are found more surely still).
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and
 are their own component; vectors of different lengths never link; rows with equal ids are vectors of
-their own; rows with a null id link with nothing and have no component; an empty table gives an empty result; columns named like a result are replaced.
+their own; a cosine equal to the threshold links; rows with a null id link with nothing and have no component; an empty table gives an empty result; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ THRESHOLD = 0.95
 RECALL = 0.995
 TILE = 2048
 SEED = 11
+SLACK = 6.7
 
 
 def shape(rows: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -49,6 +53,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     rows = durable(src, "vectors")
     classes = durable(rows.where("v is not null").groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.first("v").alias("v")), "classes")
     bits, tables = bits_tables or shape(classes.count(), threshold, recall)
+    signs = bits * tables
+    away = math.acos(threshold) / math.pi
+    most = signs * away + SLACK * math.sqrt(signs * away * (1 - away))
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -60,27 +67,30 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
             flat = col.flatten().to_numpy(zero_copy_only=False).astype(float)
             at = np.concatenate([[0], np.cumsum(size)])
             code = np.zeros((b.num_rows, tables), np.int64)
+            packed = np.zeros((b.num_rows, -(-signs // 8)), np.uint8)
             for d in np.unique(size).tolist():
                 if d not in planes:
-                    planes[d] = np.random.Generator(np.random.PCG64([SEED, d])).standard_normal((d, tables * bits))
+                    planes[d] = np.random.Generator(np.random.PCG64([SEED, d])).standard_normal((d, signs))
                 own = np.flatnonzero(size == d)
                 x = flat[at[own][:, None] + np.arange(d)]
                 x = x / np.abs(x).max(axis=1, keepdims=True)
-                sign = ((x @ planes[d]) >= 0).reshape(len(own), tables, bits)
-                code[own] = (sign << np.arange(bits)).sum(axis=2) * 65_536 + d % 65_536
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array([c.tobytes() for c in code], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, code.size + 1, tables), pa.int32()), pa.array(code.ravel())), col], ["n", "node", "codes", "each", "v"])
-
-    coded = classes.select("node", "n", "v").mapInArrow(codes, "n long, node long, codes binary, each array<long>, v array<double>")
-    dealt = coded.select("n", "node", "codes", "v", F.posexplode("each").alias("t", "code"))
-    # large groups are few: a table of its own, whose size lets the planner keep the vectors where they are
-    large = durable(coded.select(F.posexplode("each").alias("t", "code")).groupBy("t", "code").agg(F.count("*").alias("m")).where(F.col("m") > tile), "large")
+                sign = (x @ planes[d]) >= 0
+                packed[own] = np.packbits(sign, axis=1)
+                code[own] = (sign.reshape(len(own), tables, bits) << np.arange(bits)).sum(axis=2) * 65_536 + d % 65_536
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in packed], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, code.size + 1, tables), pa.int32()), pa.array(code.ravel())), col], ["node", "n", "signs", "each", "v"])
+
+    coded = durable(classes.select("node", "n", "v").mapInArrow(codes, "node long, n long, signs binary, each array<long>, v array<double>"), "codes")
+    dealt = coded.select("node", "signs", F.posexplode("each").alias("t", "code"))
+    # large groups are few: a table of its own, whose size lets the planner keep the rows where they are
+    large = durable(dealt.groupBy("t", "code").agg(F.count("*").alias("m")).where(F.col("m") > tile), "large")
     tiles = F.coalesce(F.ceil(F.col("m") / F.lit(tile)), F.lit(1)).cast("int")
     dealt = dealt.join(large, ["t", "code"], "left").withColumn("k", tiles).withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    dealt = dealt.withColumn("o", other).select("t", "code", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "n", "node", "codes", "v")
+    dealt = dealt.withColumn("o", other).select("t", "code", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "signs")
     group = ["t", "code", "i", "j"]
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each_tile(batches: Iterator[pa.RecordBatch], run) -> Iterator[pa.RecordBatch]:
+        """run(rows, table, whether both sides are the same) of each group of the sorted rows."""
         rest = None
         for b in _and_end(batches):
             if b is None:
@@ -104,30 +114,62 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
             edge = np.concatenate([[0], cut, [end]])
             for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if z - a > 1:
-                    got = tile_links(now.slice(a, z - a), int(key[0, a]), bool(key[2, a] == key[3, a]))
+                    got = run(now.slice(a, z - a), int(key[0, a]), bool(key[2, a] == key[3, a]))
                     if got is not None:
                         yield got
 
-    def tile_links(rows: pa.Table, t: int, square: bool) -> pa.RecordBatch | None:
+    def sides(side: np.ndarray, square: bool) -> tuple[np.ndarray, np.ndarray]:
+        left = np.arange(len(side)) if square else np.flatnonzero(side == side.min())
+        return left, left if square else np.flatnonzero(side != side.min())
+
+    def sign_table(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(signs, codes in each table) of some rows."""
+        flat = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1), axis=1, count=signs)
+        return flat, (flat.reshape(len(packed), tables, bits).astype(np.int64) << np.arange(bits)).sum(axis=2)
+
+    def first_met(code: np.ndarray, t: int, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that don't meet in a table before t."""
+        for e in range(t):
+            ok = code[p, e] != code[q, e]
+            p, q = p[ok], q[ok]
+        return p, q
+
+    def close(rows: pa.Table, t: int, square: bool) -> pa.RecordBatch | None:
+        side = rows.column(4).to_numpy()
+        left, right = sides(side, square)
+        if not len(right):
+            return None
+        flat, code = sign_table(rows.column(6).to_pylist())
+        x = flat.astype(np.float32) * 2 - 1
+        hit = np.zeros(len(side), bool)
+        for i in range(0, len(left), 256):
+            a = left[i : i + 256]
+            p, q = np.nonzero(x[a] @ x[right].T >= signs - 2 * most)
+            p, q = a[p], right[q]
+            ok = p < q if square else np.ones(len(p), bool)
+            p, q = first_met(code, t, p[ok], q[ok])
+            hit[p] = hit[q] = True
+        if not hit.any():
+            return None
+        kept = rows.select([0, 1, 2, 3, 4, 5]).filter(pa.array(hit)).combine_chunks()
+        return kept.to_batches()[0]
+
+    def compare(rows: pa.Table, t: int, square: bool) -> pa.RecordBatch | None:
         side, n, node = (rows.column(c).to_numpy() for c in (4, 5, 6))
-        code = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.int64).reshape(-1, tables)
+        left, right = sides(side, square)
+        if not len(right):
+            return None
+        code = sign_table(rows.column(7).to_pylist())[1]
         x = pa.concat_arrays(rows.column(8).chunks).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(n), -1)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        left = np.arange(len(n)) if square else np.flatnonzero(side == side.min())
-        right = left if square else np.flatnonzero(side != side.min())
-        if not len(right):
-            return None
         links, us, vs = np.zeros(len(n), np.int64), [], []
         for i in range(0, len(left), 256):
             a = left[i : i + 256]
             p, q = np.nonzero(x[a] @ x[right].T >= threshold)
             p, q = a[p], right[q]
             ok = p < q if square else np.ones(len(p), bool)
-            p, q = p[ok], q[ok]
-            for e in range(t):  # only in the first table where the two meet
-                ok = code[p, e] != code[q, e]
-                p, q = p[ok], q[ok]
+            p, q = first_met(code, t, p[ok], q[ok])
             np.add.at(links, p, n[q])
             np.add.at(links, q, n[p])
             if len(p):
@@ -141,8 +183,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
             root = dict(zip(u.tolist(), r.tolist(), strict=True))
         return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit]), pa.array([root[x] for x in node[hit].tolist()], pa.int64())], ["node", "links", "root"])
 
-    found = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(compare, "node long, links long, root long")
-    found = durable(found, "links")
+    met = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda b: each_tile(b, close), "t int, code long, i int, j int, c int, node long")
+    met = durable(met, "met")
+    held = met.join(coded.select("node", "n", "signs", "v"), "node").select(*group, "c", "n", "node", "signs", "v")
+    found = durable(held.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda b: each_tile(b, compare), "node long, links long, root long"), "links")
     comp = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     label = classes.select("h1", "h2", "node", "n").join(counts, "node", "left").join(comp, "node", "left")

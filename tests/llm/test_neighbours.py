@@ -108,6 +108,30 @@ def test_embeddings_match_brute_force(spark, tile):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_recall_of_planted_pairs(spark):
+    """Pairs between 0.95 and 0.97, found through the query's own path and settings."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((600, 48))
+    y -= (x[:600] * y).sum(1, keepdims=True) * x[:600]
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = rng.uniform(0.9505, 0.97, (600, 1))
+    both = np.concatenate([x, c * x[:600] + np.sqrt(1 - c * c) * y])
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")).collect()}
+    found = sum(got[3000 + i].component_id == i and got[i].n_links == 1 for i in range(600))
+    assert found >= 0.99 * 600
+    assert sum(r.n_links for r in got.values()) == 2 * found
+
+
+def test_components_with_hot_nodes(spark):
+    rng = random.Random(2)
+    pairs = [(0, i) for i in range(1, 300)] + [(500 + i % 3, 600 + i) for i in range(200)] + [(rng.randint(0, 900), rng.randint(0, 900)) for _ in range(100)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long"), hot_rows=20).collect()}
+    own = [p for p in pairs if p[0] != p[1]]
+    assert got == smallest(0, own, {x for p in own for x in p})
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(0)
     for rows in (1000, 1_000_000, 10**9):
