@@ -1,14 +1,16 @@
 """Niches: edge-corrected Gaussian kernel densities of every cell type around every cell, and merging.
 
-One pass over the pairs of cells of a sample yields all bandwidths: the squared distance is computed
-once and every bandwidth is an aggregate of its own. Samples are split into chunks of evaluation
-cells, so a sample with a third of all cells is many tasks. With `cutoff_sigmas` cells meet only in
-neighbouring squares of a grid; a Gaussian beyond 8 sigma adds less than 1e-14.
+Cells meet in the squares of a grid as wide as the cutoff of 8 bandwidths (a Gaussian beyond it adds less
+than 1e-14 of a cell): evaluated cells of a square meet the sources of the nine squares around it. Bandwidths
+within a factor of two share a grid and a pass over its pairs, where the squared distance is computed once
+and each bandwidth is an aggregate of its own. A square's evaluated cells are dealt into chunks, so neither
+a large sample nor a dense square is one task. Without a cutoff all cells of a sample meet.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +18,11 @@ from pyspark.sql import functions as F
 from ..functions.expr import erf
 
 SIGMAS = (10.0, 30.0, 50.0, 70.0)
-#: Evaluation cells of a sample that are joined with the sample's sources in one task.
+#: Evaluated cells of a square that are joined with its sources in one task.
 CHUNK = 2000
+CUTOFF = 8.0
+#: Tasks of a pass at most; chunks share tasks beyond it.
+TASKS = 100_000
 
 
 def _mass(v: str, lo: str, hi: str, sigma: float) -> Column:
@@ -26,62 +31,90 @@ def _mass(v: str, lo: str, hi: str, sigma: float) -> Column:
     return 0.5 * (erf((F.col(hi) - F.col(v)) / r) - erf((F.col(lo) - F.col(v)) / r))
 
 
-def build_niches(cells: DataFrame, sigmas=SIGMAS, edge: bool = True, diggle: bool = True, cutoff_sigmas: float | None = None, pad: bool = True, chunk: int = CHUNK) -> DataFrame:
+def _shared_passes(sigmas: list[float]) -> list[list[float]]:
+    """Ascending bandwidths in groups within a factor of two."""
+    out: list[list[float]] = []
+    for s in sigmas:
+        if out and s <= 2 * out[-1][0]:
+            out[-1].append(s)
+        else:
+            out.append([s])
+    return out
+
+
+def build_niches(cells: DataFrame, sigmas=SIGMAS, edge: bool = True, diggle: bool = True, cutoff_sigmas: float | None = CUTOFF, pad: bool = True, chunk: int = CHUNK) -> DataFrame:
     """niches(cell_id, sample_id, sigma, ct_niche, density): kernel density times pi sigma^2.
 
     The window of a sample is the bounding box of its cells. edge corrects for kernel mass outside it:
     by the mass at each source (diggle) or at the evaluated cell. Cells are sources of their own. With
-    pad every cell has a row for every type (0 where the sample has none of it).
+    pad every cell has a row for every type, else for the types of its sample (0 where none is near).
+    cutoff_sigmas None sums over all pairs of a sample.
     """
     sigmas = sorted({float(s) for s in sigmas})
     if not sigmas or sigmas[0] <= 0:
         raise ValueError("bandwidths must be positive")
     c = cells.select("cell_id", "sample_id", F.col("cell_type").alias("ct_niche"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    box = c.groupBy("sample_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n"))
-    if edge:
-        c = c.join(box, "sample_id")
-        c = c.withColumns({f"e{i}": _mass("x", "x0", "x1", s) * _mass("y", "y0", "y1", s) for i, s in enumerate(sigmas)}).drop("x0", "x1", "y0", "y1")
-    else:
-        c = c.join(box.select("sample_id", "n"), "sample_id")
-        c = c.withColumns({f"e{i}": F.lit(1.0) for i in range(len(sigmas))})
-    e = [f"e{i}" for i in range(len(sigmas))]
-    ev = c.select("sample_id", "cell_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "n", *[F.col(x).alias(f"c{x}") for x in e])
-    src = c.select("sample_id", "ct_niche", "x", "y", "n", *e)
-    if cutoff_sigmas is None:
-        parts = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
-        ev = ev.withColumn("k", F.pmod(F.xxhash64("cell_id"), parts).cast("int")).drop("n")
-        src = src.withColumn("k", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
-        pairs, near = ev.join(src, ["sample_id", "k"]), F.lit(True)
+    box = c.groupBy("sample_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    c = c.join(box, "sample_id")
+    c = c.withColumns({f"e{i}": _mass("x", "x0", "x1", s) * _mass("y", "y0", "y1", s) if edge else F.lit(1.0) for i, s in enumerate(sigmas)})
+    passes = [sigmas] if cutoff_sigmas is None else _shared_passes(sigmas)
+    parts = [_densities(c, [(sigmas.index(s), s) for s in own], diggle or not edge, cutoff_sigmas, chunk) for own in passes]
+    niches = reduce(DataFrame.unionByName, parts)
+    return pad_niches(niches, cells, sigmas) if pad else _filled(niches, _types(cells, ["sample_id"]), cells, sigmas)
+
+
+def _densities(c: DataFrame, sigmas: list[tuple[int, float]], at_source: bool, cutoff: float | None, chunk: int) -> DataFrame:
+    """(cell_id, sigma, ct_niche, density) of the pairs that meet in one grid."""
+    e = [f"e{i}" for i, _ in sigmas]
+    square = ["sample_id", "gx", "gy"]
+    if cutoff is None:
+        at = {"gx": F.lit(0).cast("long"), "gy": F.lit(0).cast("long")}
     else:
-        h = cutoff_sigmas * sigmas[-1]
+        h = cutoff * sigmas[-1][1]
+        at = {"gx": F.floor((F.col("x") - F.col("x0")) / h), "gy": F.floor((F.col("y") - F.col("y0")) / h)}
+    c = c.withColumns(at)
+    squares = c.groupBy(*square).agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks"))
+    total = squares.agg(F.sum("chunks")).first()[0] or 1
+    tasks = min(TASKS, max(int(total), c.sparkSession.sparkContext.defaultParallelism))
+    ev = c.join(squares, square).withColumn("k", F.pmod(F.xxhash64("cell_id"), F.col("chunks")).cast("int"))
+    ev = ev.select(*square, "k", "cell_id", F.col("x").alias("cx"), F.col("y").alias("cy"), *([] if at_source else [F.col(x).alias(f"c{x}") for x in e]))
+    src = c.select(*square, "ct_niche", "x", "y", *(e if at_source else []))
+    if cutoff is not None:
         step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        ev = ev.withColumns({"gx": F.floor(F.col("cx") / h), "gy": F.floor(F.col("cy") / h)}).drop("n")
-        src = src.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).withColumns({"gx": F.floor(F.col("x") / h) + F.col("dx"), "gy": F.floor(F.col("y") / h) + F.col("dy")}).drop("dx", "dy", "n")
-        pairs, near = ev.join(src, ["sample_id", "gx", "gy"]), None
+        src = src.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).withColumns({"gx": F.col("gx") + F.col("dx"), "gy": F.col("gy") + F.col("dy")}).drop("dx", "dy")
+    src = src.join(squares, square).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    key = [*square, "k"]
+    # explicit numbers of tasks: the input is small beside its pairs, so sizes in bytes say nothing of the work
+    pairs = ev.repartition(tasks, *key).join(src.repartition(tasks, *key), key)
     d2 = (F.col("cx") - F.col("x")) * (F.col("cx") - F.col("x")) + (F.col("cy") - F.col("y")) * (F.col("cy") - F.col("y"))
     pairs = pairs.withColumn("d2", d2)
-    sums = []
-    for i, s in enumerate(sigmas):
-        k = F.exp(-F.col("d2") / (2 * s * s))
-        if near is None:
-            k = F.when(F.col("d2") <= (cutoff_sigmas * s) ** 2, k).otherwise(0.0)
-        sums.append(F.sum(0.5 * k / F.col(f"e{i}" if diggle or not edge else f"ce{i}")).alias(f"s{i}"))
-    wide = pairs.groupBy("cell_id", "sample_id", "ct_niche").agg(*sums)
-    long = wide.select("cell_id", "sample_id", "ct_niche", F.explode(F.array(*[F.struct(F.lit(s).alias("sigma"), F.col(f"s{i}").alias("density")) for i, s in enumerate(sigmas)])).alias("r"))
-    long = long.select("cell_id", "sample_id", "r.sigma", "ct_niche", "r.density")
-    return pad_niches(long, cells, sigmas) if pad else long
+    if cutoff is not None:
+        pairs = pairs.where(F.col("d2") <= (cutoff * sigmas[-1][1]) ** 2)
+    sums = [F.sum(F.exp(-F.col("d2") / (2 * s * s)) * 0.5 / F.col(f"e{i}" if at_source else f"ce{i}")).alias(f"s{i}") for i, s in sigmas]
+    wide = pairs.groupBy("cell_id", "ct_niche").agg(*sums)
+    long = wide.select("cell_id", "ct_niche", F.explode(F.array(*[F.struct(F.lit(s).alias("sigma"), F.col(f"s{i}").alias("density")) for i, s in sigmas])).alias("r"))
+    return long.select("cell_id", "r.sigma", "ct_niche", "r.density")
+
+
+def _types(cells: DataFrame, by: list[str]) -> DataFrame:
+    """The types (a few dozen) of all cells or of each sample, as an array."""
+    return cells.groupBy(*by).agg(F.array_sort(F.collect_set("cell_type")).alias("types"))
+
+
+def _filled(niches: DataFrame, types: DataFrame, cells: DataFrame, sigmas) -> DataFrame:
+    own = cells.select("cell_id", "sample_id")
+    grid = own.join(types, "sample_id") if "sample_id" in types.columns else own.join(F.broadcast(types))
+    grid = grid.select("cell_id", "sample_id", F.explode("types").alias("ct_niche")).select("*", F.explode(F.array(*[F.lit(float(s)) for s in sigmas])).alias("sigma"))
+    full = grid.join(niches.select("cell_id", "sigma", "ct_niche", "density"), ["cell_id", "sigma", "ct_niche"], "left")
+    return full.select("cell_id", "sample_id", "sigma", "ct_niche", F.coalesce("density", F.lit(0.0)).alias("density"))
 
 
 def pad_niches(niches: DataFrame, cells: DataFrame, sigmas) -> DataFrame:
     """A row for every cell, bandwidth and type; absent types have density 0.
 
-    The types (a few dozen) are gathered into an array first, so this is a join with one row.
+    The types are gathered into an array first, so this is a join with one row.
     """
-    types = cells.agg(F.array_sort(F.collect_set("cell_type")).alias("types"))
-    grid = cells.select("cell_id", "sample_id").join(F.broadcast(types))
-    grid = grid.select("cell_id", "sample_id", F.explode("types").alias("ct_niche")).select("*", F.explode(F.array(*[F.lit(float(s)) for s in sigmas])).alias("sigma"))
-    full = grid.join(niches.drop("sample_id"), ["cell_id", "sigma", "ct_niche"], "left")
-    return full.select("cell_id", "sample_id", "sigma", "ct_niche", F.coalesce("density", F.lit(0.0)).alias("density"))
+    return _filled(niches, _types(cells, []), cells, sigmas)
 
 
 def detect_sigmas(niches: DataFrame) -> DataFrame:

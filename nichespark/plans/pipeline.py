@@ -14,7 +14,7 @@ from ..operators.combine import combine_bandwidths, relative_weights, union
 from ..operators.design import Design, build_design
 from ..operators.fit import Fit, fit_design, pack_counts
 from ..operators.inference import infer, residual_rho
-from ..operators.niches import SIGMAS, build_niches, detect_sigmas
+from ..operators.niches import CUTOFF, SIGMAS, build_niches, detect_sigmas
 from . import validate
 
 BACKENDS = ("auto", "cpu")
@@ -115,7 +115,7 @@ def test(res: Results, fdr: float = 0.05, weight_thresh: float = 0.1, combine: s
     return res
 
 
-def run(cells: DataFrame, counts: DataFrame, condition: str | None = None, sigma=SIGMAS, niches: DataFrame | None = None, edge: bool = True, diggle: bool = True, cutoff_sigmas: float | None = None, fdr: float = 0.05, weight_thresh: float = 0.1, combine: str = "cauchy", **how) -> Results:
+def run(cells: DataFrame, counts: DataFrame, condition: str | None = None, sigma=SIGMAS, niches: DataFrame | None = None, edge: bool = True, diggle: bool = True, cutoff_sigmas: float | None = CUTOFF, fdr: float = 0.05, weight_thresh: float = 0.1, combine: str = "cauchy", **how) -> Results:
     """Niches (all of them if any bandwidth is missing), fit and test."""
     sigma = [float(s) for s in ([sigma] if isinstance(sigma, int | float) else sigma)]
     have = set() if niches is None else {r[0] for r in detect_sigmas(niches).collect()}

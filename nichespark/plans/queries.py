@@ -16,7 +16,7 @@ from ..operators.combine import combine_bandwidths, relative_weights, union
 from ..operators.design import build_design
 from ..operators.niches import build_niches, detect_sigmas, merge_niches, self_niches
 from ..operators.sizefactors import ls_matrix, size_factors
-from ..sources.tissue import order_tissue
+from ..sources.tissue import order_cells, order_tissue
 from . import pipeline, validate
 
 PSI = {30.0: 0.5, 50.0: 1.0}
@@ -34,22 +34,19 @@ def _rounded(df: DataFrame, *cols: str, d: int = 6) -> DataFrame:
 
 def _density(edge: bool, diggle: bool):
     def run(spark, sf):
-        t = order_tissue(spark, sf)
-        return _rounded(build_niches(t.cells, [30], edge, diggle, pad=False), "density").select("cell_id", "ct_niche", "density")
+        return _rounded(build_niches(order_cells(spark, sf), [30], edge, diggle, pad=False), "density").select("cell_id", "ct_niche", "density")
 
     return run
 
 
 def niche_padded(spark, sf):
-    t = order_tissue(spark, sf)
-    return _rounded(build_niches(t.cells, SIGMAS), "density")
+    return _rounded(build_niches(order_cells(spark, sf), SIGMAS), "density")
 
 
 def _merged(spark, sf):
-    t = order_tissue(spark, sf)
-    n = build_niches(t.cells, [30])
+    n = build_niches(order_cells(spark, sf), [30])
     m, g = merge_niches(n, {"HOME": ["HOUSEHOLD", "FURNITURE"], "NONE": ["UNKNOWN"]})
-    return t, m, g
+    return n, m, g
 
 
 def niche_merge(spark, sf):
@@ -66,7 +63,7 @@ def self_niche_drop(spark, sf):
 
 
 def detect_sigma(spark, sf):
-    return detect_sigmas(build_niches(order_tissue(spark, sf).cells, SIGMAS))
+    return detect_sigmas(build_niches(order_cells(spark, sf), SIGMAS))
 
 
 def q_ls_matrix(spark, sf):
@@ -78,9 +75,8 @@ def q_size_factors(spark, sf):
 
 
 def _design(spark, sf, **how):
-    t = order_tissue(spark, sf)
-    n = build_niches(t.cells, [30])
-    return build_design(t.cells, n, 30, "condition", covariates=["area"], **how)
+    cells = order_cells(spark, sf).persist()  # the builder reads its types, levels and samples
+    return build_design(cells, build_niches(cells, [30]), 30, "condition", covariates=["area"], **how)
 
 
 def design_coefmap(spark, sf):
@@ -103,16 +99,16 @@ def tested_columns(spark, sf):
 
 
 def sample_condition_check(spark, sf):
-    return validate.sample_levels(order_tissue(spark, sf).cells, ["condition", "cell_type"])
+    return validate.sample_levels(order_cells(spark, sf), ["condition", "cell_type"])
 
 
 def stratified_sample_sizes(spark, sf):
-    c = order_tissue(spark, sf).cells
+    c = order_cells(spark, sf)
     return fitting.stratified_cells(c, 0.1, 20).join(c, "cell_id").groupBy("sample_id", "cell_type").agg(F.count("*").alias("n"))
 
 
 def cell_abundance_weights(spark, sf):
-    return _rounded(score.abundance_weights(order_tissue(spark, sf).cells), "w")
+    return _rounded(score.abundance_weights(order_cells(spark, sf)), "w")
 
 
 GROUPS = ["cell_type", "condition"]

@@ -31,12 +31,10 @@ def order_counts(spark: SparkSession, sf_dir: str, gene: str = "p_brand") -> Dat
     return own.groupBy("gene", F.col("o_custkey").alias("cell_id")).agg(F.count("*").alias("n"))
 
 
-def order_tissue(spark: SparkSession, sf_dir: str) -> Tissue:
-    counts = order_counts(spark, sf_dir).persist()
-    total = counts.groupBy("cell_id").agg(F.sum("n").alias("n_count"))
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cells without their total counts."""
     s = F.col("c_nationkey") % 6
-    cells = c.select(
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
         F.col("c_custkey").alias("cell_id"),
         F.concat(F.lit("S"), s).alias("sample_id"),
         F.col("c_mktsegment").alias("cell_type"),
@@ -44,5 +42,11 @@ def order_tissue(spark: SparkSession, sf_dir: str) -> Tissue:
         ((F.col("c_custkey") * 104729) % 503).cast("double").alias("y"),
         F.when(s % 2 == 1, "Treated").otherwise("Control").alias("condition"),
         ((F.col("c_custkey") * 31) % 17 + 1).cast("double").alias("area"),
-    ).join(total, "cell_id", "left").withColumn("n_count", F.coalesce("n_count", F.lit(0)))
-    return Tissue(cells, counts)
+    )
+
+
+def order_tissue(spark: SparkSession, sf_dir: str) -> Tissue:
+    counts = order_counts(spark, sf_dir).persist()
+    total = counts.groupBy("cell_id").agg(F.sum("n").alias("n_count"))
+    cells = order_cells(spark, sf_dir).join(total, "cell_id", "left").withColumn("n_count", F.coalesce("n_count", F.lit(0)))
+    return Tissue(cells.persist(), counts)
