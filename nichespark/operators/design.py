@@ -20,6 +20,8 @@ from ..plans import validate
 
 #: Bytes of a dense design that may be gathered and sent to the executors.
 MAX_DESIGN = 1 << 30
+#: Levels of a categorical covariate, which has an indicator column for each but the first.
+MAX_LEVELS = 1000
 
 
 def sanitise(name: str) -> str:
@@ -40,6 +42,8 @@ class Term:
     niche: str | None = None
     numeric: str | None = None
     sample: str | None = None
+    factor: str | None = None
+    level: str | None = None
 
 
 @dataclass
@@ -84,6 +88,8 @@ class Design:
                 v = v * (F.col("sample_id").cast("string") == t.sample).cast("double")
             if t.niche is not None:
                 v = v * F.log1p(F.coalesce(F.element_at("__niche", F.lit(t.niche)), F.lit(0.0)))
+            if t.factor is not None:
+                v = v * (F.col(t.factor).cast("string") == t.level).cast("double")
             if t.numeric is not None:
                 v = v * F.col(t.numeric).cast("double")
             value.append(v)
@@ -130,8 +136,12 @@ def build_design(cells: DataFrame, niches: DataFrame, sigma: float, condition: s
     terms: list[Term] = []
     for cv in covariates:
         if kinds[cv] in ("string", "boolean"):
-            raise ValueError(f"covariate '{cv}' must be numeric; code categories as indicator columns")
-        terms.append(Term(cv, "Other", numeric=cv))
+            own = [r[0] for r in cells.select(F.col(cv).cast("string").alias("v")).distinct().orderBy("v").limit(MAX_LEVELS + 1).collect()]
+            if len(own) > MAX_LEVELS:
+                raise ValueError(f"covariate '{cv}' has more than {MAX_LEVELS} levels")
+            terms += [Term(f"{cv}{v}", "Other", factor=cv, level=v) for v in own[1:]]
+        else:
+            terms.append(Term(cv, "Other", numeric=cv))
     terms += [Term(f"CellType{t}", "CellType", ct_index=t, cell_type=t) for t in types]
     if condition:
         terms += [Term(n, "Other", ct_niche=n, niche=n) for n in names]

@@ -92,9 +92,25 @@ def patient_fdr(p: DataFrame, fdr: float) -> DataFrame:
 
 
 def direction_bh(t: DataFrame, fdr: float, family: list[str], ties: list[str], df: str | None = None) -> DataFrame:
-    """One-bandwidth, direction-split BH on t: rows with q = min(1, 2 q_direction) < fdr, and their Direction."""
+    """One-bandwidth, direction-split BH on t: rows with q = min(1, 2 q_direction) < fdr, and their Direction (Both if both pass)."""
     ref = None if df is None else F.col(df)
     up = bh_adjust(t.withColumn("__p", pt(F.col("t"), ref, False)), "__p", family, ties, "__up", 2.0)
     both = bh_adjust(up.withColumn("__p", pt(F.col("t"), ref, True)), "__p", family, ties, "__down", 2.0)
-    q = F.least("__up", "__down")
-    return both.withColumns({"q": q, "Direction": F.when(F.col("__up") <= F.col("__down"), "Up").otherwise("Down")}).where(F.col("q") < fdr).drop("__p", "__up", "__down")
+    direction = F.when((F.col("__up") < fdr) & (F.col("__down") < fdr), "Both").when(F.col("__up") < fdr, "Up").otherwise("Down")
+    return both.withColumns({"q": F.least("__up", "__down"), "Direction": direction}).where(F.col("q") < fdr).drop("__p", "__up", "__down")
+
+
+def celltype_fdr_of_t(wald: DataFrame, fdr: float) -> DataFrame:
+    """(gene, ct_index, t, p, fdr_gene, fdr_celltype, Direction) of one bandwidth's type:condition statistics."""
+    rc = wald.where("type = 'ResponseCellType'").select("gene", "ct_index", "t", "df").withColumn("p", two_sided(F.col("t"), F.col("df")))
+    gene = rc.groupBy("gene").agg(cauchy(clamp(F.col("p"))).alias("pg"))
+    gene = bh_adjust(gene, "pg", [], ["gene"], "fdr_gene").where(F.col("fdr_gene") < fdr).select("gene", "fdr_gene")
+    out = direction_bh(rc.join(gene, "gene"), fdr, ["gene"], ["ct_index"], "df")
+    return out.select("gene", "ct_index", "t", "p", "fdr_gene", F.col("q").alias("fdr_celltype"), "Direction")
+
+
+def patient_fdr_of_t(patient: DataFrame, fdr: float) -> DataFrame:
+    """(gene, coef, se, t, p, fdr, Direction) of one bandwidth's patient contrast (gene, beta, se_patient, df)."""
+    t = patient.select("gene", F.col("beta").alias("coef"), F.col("se_patient").alias("se"), (F.col("beta") / F.col("se_patient")).alias("t"), "df")
+    out = direction_bh(t.withColumn("p", two_sided(F.col("t"), F.col("df"))), fdr, [], ["gene"], "df")
+    return out.select("gene", "coef", "se", "t", "p", F.col("q").alias("fdr"), "Direction")

@@ -45,6 +45,10 @@ class Fit:
         kind = "niche-only" if self.mode == "niche" else "condition"
         return f"Fit(sigma={self.sigma:g}, {kind} mode, {len(self.ids)} cells, {len(self.design.terms)} columns{', random effects' if self.penalty is not None else ''}{'' if self.wald is None else ', tested'})"
 
+    def __getitem__(self, name: str):
+        """A slot by name: design, genes, wald, ..."""
+        return getattr(self, name)
+
     @property
     def sel(self) -> np.ndarray:
         return np.flatnonzero(self.design.tested)
@@ -96,11 +100,9 @@ def fit_nb(packed: DataFrame, ids: np.ndarray, w: np.ndarray, pen: np.ndarray, i
 
     def curves(batches):
         i, x, p = bc.value
-        total = np.zeros(len(nb.GRID) + 1)
-        for _, y, _, _ in each_gene(batches, i):
-            total[1:] += one_curve(y, x, p)[0]
-            total[0] += 1
-        return total
+        out = [(name, *one_curve(y, x, p)) for name, y, _, _ in each_gene(batches, i)]
+        v = pa.list_(pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), v, v))], ["gene", "curve", "alpha"])
 
     def one_curve(y, x, p):
         a = nb.irls(y, x, 0.1, p)
@@ -108,32 +110,36 @@ def fit_nb(packed: DataFrame, ids: np.ndarray, w: np.ndarray, pen: np.ndarray, i
             mu = np.exp(np.clip(x @ a, -nb.ETA, nb.ETA))
             a = nb.irls(y, x, nb.first_dispersion(y, mu), p, a)
         mu = np.exp(np.clip(x @ a, -nb.ETA, nb.ETA))
-        c = nb.profile(y, x, mu, p)
-        return c, a
+        return nb.profile(y, x, mu, p), a
 
-    shared = _psum(packed, curves, len(nb.GRID) + 1, spark)
-    common = prior_genes * shared[1:] / max(shared[0], 1.0)
+    # curves and coefficients of the first pass are kept, a few hundred bytes a gene
+    first = packed.mapInArrow(curves, "gene string, curve array<double>, alpha array<double>").persist()
+    total = {r["pos"]: r["v"] for r in first.select(F.posexplode("curve").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("v")).collect()}  # a row for each point of the grid
+    common = prior_genes * np.array([total.get(k, 0.0) for k in range(len(nb.GRID))])
 
     def final(batches):
         i, x, p = bc.value
         out = []
-        for name, y, _, _ in each_gene(batches, i):
-            c, a = one_curve(y, x, p)
-            psi = nb.peak(c + common)
-            a = nb.irls(y, x, psi, p, a)
+        for name, y, b, g in each_gene(batches, i):
+            psi = nb.peak(b.column(3)[g].values.to_numpy(zero_copy_only=False) + common)
+            a = nb.irls(y, x, psi, p, b.column(4)[g].values.to_numpy(zero_copy_only=False))
             mu = np.exp(np.clip(x @ a, -nb.ETA, nb.ETA))
-            out.append((name, a, psi, float(nb.nb_loglik(y, mu, np.array(psi)).sum())))
+            out.append((name, a, psi, nb.Counts(y).loglik(mu, psi)))
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.list_(pa.float64())), pa.array([o[2] for o in out], pa.float64()), pa.array([o[3] for o in out], pa.float64())], ["gene", "alpha", "psi", "loglik"])
 
-    fitted = packed.mapInArrow(final, "gene string, alpha array<double>, psi double, loglik double")
-    if winsor:
-        rows = fitted.persist()
-        limit = rows.select(F.posexplode("alpha").alias("pos", "a")).groupBy("pos").agg(F.median("a").alias("mid"), F.collect_list("a").alias("all"))
-        limit = limit.select("pos", "mid", F.expr("1.4826 * array_sort(transform(all, a -> abs(a - mid)))[int(size(all) / 2)]").alias("dev"))
-        edges = {r.pos: (r.mid - winsor * r.dev, r.mid + winsor * r.dev) for r in limit.collect() if r.dev > 0}
-        a = F.array(*[F.greatest(F.lit(edges[j][0]), F.least(F.lit(edges[j][1]), F.col("alpha")[j])) if j in edges else F.col("alpha")[j] for j in range(w.shape[1])])
-        fitted = rows.withColumn("alpha", a)
-    return fitted
+    fitted = packed.join(first, "gene").select("gene", "cells", "n", "curve", "alpha").mapInArrow(final, "gene string, alpha array<double>, psi double, loglik double")
+    return winsorise(fitted, winsor) if winsor else fitted
+
+
+def winsorise(genes: DataFrame, at: float) -> DataFrame:
+    """genes with every coefficient drawn in to `at` robust deviations (scaled median absolute ones) from its column's median."""
+    rows = genes.persist()
+    long = rows.select(F.posexplode("alpha").alias("pos", "a"))
+    mid = long.groupBy("pos").agg(F.median("a").alias("mid"))
+    dev = long.join(F.broadcast(mid), "pos").groupBy("pos", "mid").agg((1.4826 * F.median(F.abs(F.col("a") - F.col("mid")))).alias("dev"))  # a row for each column of the design
+    edges = dev.where("dev > 0").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct((F.col("mid") - at * F.col("dev")).alias("lo"), (F.col("mid") + at * F.col("dev")).alias("hi"))))).alias("__edges"))
+    drawn = F.transform("alpha", lambda a, j: F.coalesce(F.greatest(F.element_at("__edges", j)["lo"], F.least(F.element_at("__edges", j)["hi"], a)), a))
+    return rows.join(F.broadcast(edges)).withColumn("alpha", drawn).drop("__edges")
 
 
 def rep_weights(packed: DataFrame, genes: DataFrame, ids: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -198,8 +204,13 @@ def between_df(mode: str, groups: list[str | None], n_cells: int) -> float:
     return float(max(samples - 2, 1))
 
 
-def fit_design(design: Design, packed: DataFrame, cells: DataFrame | None = None, random: str = "none", lambda_a: float = 0.0, winsor: float | None = None, re_maxit: int = 10, re_tol: float = 1e-3, tau2_init: float = 1.0, re_prop: float = 1.0, re_min_cells: int = 100, df_method: str = "satterthwaite", verbose: bool = False) -> Fit:
-    """Fit one bandwidth. With random effects: penalised fits and variance updates in turn, then a full fit."""
+def fit_design(design: Design, packed: DataFrame, cells: DataFrame | None = None, random: str = "none", lambda_a: float = 0.0, winsor: float | None = None, re_maxit: int = 10, re_tol: float = 1e-3, tau2_init: float = 1.0, re_prop: float = 1.0, re_maxit_psi: int = 1, re_min_cells: int = 100, df_method: str = "satterthwaite", verbose: bool = False) -> Fit:
+    """Fit one bandwidth. With random effects: penalised fits and variance updates in turn, then a full fit.
+
+    re_maxit_psi: moment updates of a gene's dispersion in the fits between variance updates.
+    """
+    if re_maxit_psi < 1:
+        raise ValueError("re_maxit_psi must be at least 1")
     if df_method not in ("satterthwaite", "between"):
         raise ValueError("df_method must be satterthwaite or between")
     ids, w = design.matrix()
@@ -226,7 +237,7 @@ def fit_design(design: Design, packed: DataFrame, cells: DataFrame | None = None
 
     for it in range(re_maxit):
         pen = penalty()
-        genes = fit_nb(packed, ids, w, pen, idx=idx).persist()
+        genes = fit_nb(packed, ids, w, pen, idx=idx, winsor=winsor, rounds=re_maxit_psi).persist()
         wbar = rep_weights(packed, genes, ids if idx is None else ids[idx], own)
         minv = np.linalg.pinv(own.T @ (own * wbar[:, None]) + np.diag(pen), hermitian=True)
         sums = genes.select(*[sum((F.col("alpha")[int(j)] * F.col("alpha")[int(j)] for j in g), F.lit(0.0)).alias(n) for n, g in zip(names, groups, strict=True)]).agg(F.count("*").alias("__g"), *[F.sum(n).alias(n) for n in names]).first()

@@ -12,6 +12,8 @@ from . import nb
 from .fit import Fit, _psum, dense
 
 EPS = 1e-15
+#: Bytes that a task may use for the dense arrays of a block of genes.
+BLOCK_BYTES = 1 << 28
 
 
 def cauchy(p: np.ndarray) -> float:
@@ -36,6 +38,20 @@ def brown(p: np.ndarray, r: np.ndarray) -> float:
 special_tiny = 2.2250738585072014e-308
 
 
+def block_size_of(cells: int, columns: int, budget: int = BLOCK_BYTES) -> int:
+    """Genes whose counts, means, weights and covariances fit in the budget (one at least)."""
+    return max(1, budget // (8 * (4 * cells + 3 * columns * columns)))
+
+
+def covariances(w: np.ndarray, d: np.ndarray, sel: np.ndarray, pen: np.ndarray | None) -> np.ndarray:
+    """`covariance` for each row of d; Gram matrices one by one, so that cells times columns squared is never held, inverses together."""
+    x = w[:, sel] if pen is None else w
+    gram = np.stack([x.T @ (x * r[:, None]) for r in d])
+    if pen is None:
+        return np.linalg.pinv(gram, hermitian=True)
+    return np.linalg.pinv(gram + np.diag(pen), hermitian=True)[:, sel[:, None], sel]
+
+
 def covariance(w: np.ndarray, d: np.ndarray, sel: np.ndarray, pen: np.ndarray | None) -> np.ndarray:
     """Of the tested coefficients: from the tested columns alone, or the block of the penalised inverse."""
     if pen is None:
@@ -44,11 +60,11 @@ def covariance(w: np.ndarray, d: np.ndarray, sel: np.ndarray, pen: np.ndarray |
     return np.linalg.pinv(w.T @ (w * d[:, None]) + np.diag(pen), hermitian=True)[np.ix_(sel, sel)]
 
 
-def wald_gene(alpha: np.ndarray, psi: float, y: np.ndarray, w: np.ndarray, sel: np.ndarray, niche: np.ndarray, index: list[str], levels: list[str], pen: np.ndarray | None, df, fixed_cols: int, w_rc: np.ndarray | None, combine: str) -> dict:
+def wald_gene(alpha: np.ndarray, psi: float, y: np.ndarray, w: np.ndarray, sel: np.ndarray, niche: np.ndarray, index: list[str], levels: list[str], pen: np.ndarray | None, df, fixed_cols: int, w_rc: np.ndarray | None, combine: str, v: np.ndarray | None = None) -> dict:
     """t, se, combined p of the gene and of each index type (up, down), patient se, log-likelihood and residuals."""
     mu = np.exp(np.clip(w @ alpha, -nb.ETA, nb.ETA))
-    d = 1 / (1 / mu + psi)
-    v = covariance(w, d, sel, pen)
+    if v is None:
+        v = covariance(w, 1 / (1 / mu + psi), sel, pen)
     scale = psi if pen is None else float(((y - mu) ** 2 / (mu + psi * mu**2)).sum() / max(len(y) - fixed_cols, 1))
     se = np.sqrt(scale * np.diag(v))
     t = alpha[sel] / se
@@ -70,7 +86,7 @@ def wald_gene(alpha: np.ndarray, psi: float, y: np.ndarray, w: np.ndarray, sel:
                 out.append(brown(x[k], r[np.ix_(k, k)]))
     pat = None if w_rc is None else float(np.sqrt(scale * (w_rc @ v @ w_rc)))
     z = (y - mu) / np.sqrt(mu + psi * mu**2)
-    return {"t": t, "se": se, "up": up, "down": down, "se_patient": pat, "loglik": float(nb.nb_loglik(y, mu, np.array(psi)).sum()), "z": z}
+    return {"t": t, "se": se, "up": up, "down": down, "se_patient": pat, "loglik": nb.Counts(y).loglik(mu, psi), "z": z}
 
 
 def abundance(fit: Fit) -> np.ndarray | None:
@@ -84,8 +100,13 @@ def abundance(fit: Fit) -> np.ndarray | None:
     return n / n.sum()
 
 
-def infer(fit: Fit, packed: DataFrame, combine: str = "cauchy", with_rho: bool = True) -> Fit:
-    """Fill in wald, pcomb, patient and rho. Genes are independent, so partitioning can't change a result."""
+def infer(fit: Fit, packed: DataFrame, combine: str = "cauchy", with_rho: bool = True, block_size: int | None = None) -> Fit:
+    """Fill in wald, pcomb, patient and rho. Genes are independent, so neither partitions nor blocks can change a result.
+
+    block_size: genes that a task holds as dense arrays and inverts together; by default what BLOCK_BYTES allow.
+    """
+    if block_size is not None and block_size < 1:
+        raise ValueError("block_size must be at least 1")
     if combine not in ("cauchy", "brown"):
         raise ValueError("combine must be cauchy or brown")
     spark, sel = packed.sparkSession, fit.sel
@@ -103,9 +124,15 @@ def infer(fit: Fit, packed: DataFrame, combine: str = "cauchy", with_rho: bool =
         ids, w, pen = bc.value
         for b in batches:
             alpha = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else None
-            for g, name in enumerate(b.column(0).to_pylist()):
-                y = dense(b.column(1)[g].values.to_numpy(zero_copy_only=False), b.column(2)[g].values.to_numpy(zero_copy_only=False), ids)
-                yield name, alpha[g], wald_gene(alpha[g], b.column(4)[g].as_py(), y, w, sel, niche, index, levels, pen, df, fixed_cols, w_rc, combine)
+            names, psi = b.column(0).to_pylist(), b.column(4).to_numpy()
+            size = block_size or block_size_of(len(ids), w.shape[1] if pen is not None else len(sel))
+            for i in range(0, b.num_rows, size):
+                own = range(i, min(i + size, b.num_rows))
+                mu = np.exp(np.clip(alpha[own.start : own.stop] @ w.T, -nb.ETA, nb.ETA))
+                v = covariances(w, 1 / (1 / mu + psi[own.start : own.stop, None]), sel, pen)
+                for g in own:
+                    y = dense(b.column(1)[g].values.to_numpy(zero_copy_only=False), b.column(2)[g].values.to_numpy(zero_copy_only=False), ids)
+                    yield names[g], alpha[g], wald_gene(alpha[g], float(psi[g]), y, w, sel, niche, index, levels, pen, df, fixed_cols, w_rc, combine, v[g - i])
 
     def run(batches):
         rows = [(n, a[sel], r["t"], r["se"], r["up"], r["down"], r["se_patient"], r["loglik"], None if w_rc is None else float(a[sel] @ w_rc)) for n, a, r in one(batches)]

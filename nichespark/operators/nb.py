@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..functions.special import nb_loglik
+from ..functions.special import lgamma
 
 #: Grid of log dispersions on which profile likelihoods are kept.
 GRID = np.linspace(np.log(1e-4), np.log(1e2), 43)
@@ -13,8 +13,23 @@ PRIOR_GENES = 10.0
 ETA = 30.0
 
 
-def _penalised(y, mu, psi, a, pen):
-    return float(nb_loglik(y, mu, np.array(psi)).sum() - 0.5 * (pen * a * a).sum())
+class Counts:
+    """Counts of one gene; log-gammas are taken of distinct values only."""
+
+    def __init__(self, y: np.ndarray):
+        self.y, self.total = y, float(y.sum())
+        self.values, self.times = np.unique(y, return_counts=True)
+        self.constant = float(lgamma(self.values + 1.0) @ self.times)
+
+    def loglik(self, mu: np.ndarray, psi: float) -> float:
+        """Negative binomial log-likelihood at means mu and size 1/psi."""
+        r = 1 / psi
+        gammas = float((lgamma(self.values + r) - lgamma(np.array(r))) @ self.times)
+        return gammas - self.constant - float((r + self.y) @ np.log1p(psi * mu)) + float(self.y @ np.log(np.maximum(mu, 1e-300))) + self.total * float(np.log(psi))
+
+
+def _penalised(own, mu, psi, a, pen):
+    return own.loglik(mu, psi) - 0.5 * float((pen * a * a).sum())
 
 
 def irls(y: np.ndarray, w: np.ndarray, psi: float, pen: np.ndarray, start: np.ndarray | None = None, maxit: int = 100, tol: float = 1e-12) -> np.ndarray:
@@ -25,7 +40,8 @@ def irls(y: np.ndarray, w: np.ndarray, psi: float, pen: np.ndarray, start: np.nd
         start = np.linalg.solve(w.T @ w + np.diag(ridge), w.T @ z)
     a = start
     mu = np.exp(np.clip(w @ a, -ETA, ETA))
-    now = _penalised(y, mu, psi, a, ridge)
+    own = Counts(y)
+    now = _penalised(own, mu, psi, a, ridge)
     for _ in range(maxit):
         d = mu / (1 + psi * mu)
         grad = w.T @ ((y - mu) / (1 + psi * mu)) - ridge * a
@@ -34,7 +50,7 @@ def irls(y: np.ndarray, w: np.ndarray, psi: float, pen: np.ndarray, start: np.nd
         for _ in range(30):
             b = a + scale * step
             mu_b = np.exp(np.clip(w @ b, -ETA, ETA))
-            new = _penalised(y, mu_b, psi, b, ridge)
+            new = _penalised(own, mu_b, psi, b, ridge)
             if new >= now - 1e-12 * abs(now):
                 break
             scale /= 2
@@ -48,12 +64,12 @@ def irls(y: np.ndarray, w: np.ndarray, psi: float, pen: np.ndarray, start: np.nd
 
 def profile(y: np.ndarray, w: np.ndarray, mu: np.ndarray, pen: np.ndarray) -> np.ndarray:
     """Cox-Reid adjusted log-likelihood at mu for each dispersion of GRID."""
-    out = np.empty(len(GRID))
+    out, own = np.empty(len(GRID)), Counts(y)
     for k, lp in enumerate(GRID):
-        psi = np.exp(lp)
+        psi = float(np.exp(lp))
         d = mu / (1 + psi * mu)
         _, det = np.linalg.slogdet(w.T @ (w * d[:, None]) + np.diag(pen + 1e-8))
-        out[k] = nb_loglik(y, mu, np.array(psi)).sum() - 0.5 * det
+        out[k] = own.loglik(mu, psi) - 0.5 * det
     return out
 
 
@@ -71,11 +87,3 @@ def peak(curve: np.ndarray) -> float:
 def first_dispersion(y: np.ndarray, mu: np.ndarray) -> float:
     """A moment estimate to start from."""
     return float(np.clip(((y - mu) ** 2 - mu).sum() / np.maximum((mu * mu).sum(), 1e-12), 1e-3, 10.0))
-
-
-def winsorise(alpha: np.ndarray, at: float) -> np.ndarray:
-    """Coefficients (genes by columns) drawn in to `at` robust deviations from their column's median."""
-    mid = np.median(alpha, axis=0)
-    dev = 1.4826 * np.median(np.abs(alpha - mid), axis=0)
-    ok = dev > 0
-    return np.where(ok, np.clip(alpha, mid - at * dev, mid + at * dev), alpha)

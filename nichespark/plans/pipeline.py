@@ -48,6 +48,10 @@ class Results:
             raise ValueError("no results yet: run test() first")
         return self.tables[kind]
 
+    def __getitem__(self, name: str):
+        """A slot by name: fits, weights, pcomb, tables, ..."""
+        return getattr(self, name)
+
     def wald(self) -> DataFrame:
         return union([f.wald for f in self.fits])
 
@@ -72,8 +76,11 @@ def niche_design(cells: DataFrame, niches: DataFrame, sigma: float, **how) -> De
     return design
 
 
-def fit(cells: DataFrame, counts: DataFrame, niches: DataFrame, condition: str | None = None, index=None, niche=None, covariates=(), sigma=None, random: str = "none", niche_groups: DataFrame | None = None, designs: list[Design] | None = None, backend: str = "auto", **how) -> Results:
-    """One fit per bandwidth (all stored ones by default). designs: ready-made designs instead of built ones."""
+def fit(cells: DataFrame, counts: DataFrame, niches: DataFrame, condition: str | None = None, index=None, niche=None, covariates=(), sigma=None, random: str = "none", niche_groups: DataFrame | None = None, designs: list[Design] | None = None, backend: str = "auto", winsor: float | None = 4.0, **how) -> Results:
+    """One fit per bandwidth (all stored ones by default). designs: ready-made designs instead of built ones.
+
+    winsor: robust deviations from a column's median to which coefficients are drawn in; None leaves them.
+    """
     _backend(backend)
     validate.check_cells(cells)
     validate.check_counts(counts)
@@ -86,16 +93,16 @@ def fit(cells: DataFrame, counts: DataFrame, niches: DataFrame, condition: str |
     if designs is None:
         sigma = [sigma] if isinstance(sigma, int | float) else list(sigma)
         designs = [niche_design(cells, niches, float(s), condition=condition, index=index, niche=niche, covariates=covariates, random=random, niche_groups=niche_groups) for s in sigma]
-    return Results([fit_design(d, packed, cells, random=random, **how) for d in designs], packed)
+    return Results([fit_design(d, packed, cells, random=random, winsor=winsor, **how) for d in designs], packed)
 
 
-def test(res: Results, fdr: float = 0.05, weight_thresh: float = 0.1, combine: str = "cauchy", backend: str = "auto") -> Results:
+def test(res: Results, fdr: float = 0.05, weight_thresh: float = 0.1, combine: str = "cauchy", backend: str = "auto", block_size: int | None = None) -> Results:
     """Inference (again if `combine` changed), combination over bandwidths, and the three layers."""
     _backend(backend)
     validate.check_fdr(fdr)
     if res.combine != combine or any(f.wald is None for f in res.fits):
         for f in res.fits:
-            infer(f, res.packed, combine)
+            infer(f, res.packed, combine, block_size=block_size)
         res.combine = combine
     two = res.fits[0].two_sided
     res.weights = relative_weights(res.loglik(), "gene", weight_thresh).persist()

@@ -17,7 +17,8 @@ from ..operators.design import build_design
 from ..operators.niches import build_niches, detect_sigmas, merge_niches, self_niches
 from ..operators.sizefactors import ls_matrix, size_factors
 from ..sources.tissue import order_cells, order_tissue
-from . import pipeline, validate
+from . import closed, validate
+from .sqltext import CELLS, CLAMPED, COUNTS, bh, cauchy, gates, mass, niche_level, pairs, ranked, two_sided
 
 PSI = {30.0: 0.5, 50.0: 1.0}
 SIGMAS = list(PSI)
@@ -262,75 +263,10 @@ def lambda_by_celltype(spark, sf):
     return _rounded(gsea.inflation(_niche_wald(order_tissue(spark, sf))), "lambda")
 
 
-# --- iterative: no SQL twin ------------------------------------------------------------------
-
-
-def _model_tissue(spark, sf):
-    """The tissue with three types, so that small tables fill every stratum."""
-    t = order_tissue(spark, sf)
-    kind = F.when(F.col("cell_type").isin("AUTOMOBILE", "MACHINERY"), "A").when(F.col("cell_type").isin("BUILDING", "FURNITURE"), "B").otherwise("C")
-    t.cells = t.cells.withColumn("cell_type", kind)
-    return t
-
-
-def _fitted(spark, sf, condition="condition", **how):
-    t = _model_tissue(spark, sf)
-    n = build_niches(t.cells, [30.0])
-    return pipeline.fit(t.cells, t.counts, n, condition, **how)
-
-
-def nb_fit(spark, sf):
-    return _rounded(_fitted(spark, sf).fits[0].genes.select("gene", "psi", "loglik"), "psi", "loglik", d=4)
-
-
-def wald_full(spark, sf):
-    return _rounded(pipeline.test(_fitted(spark, sf)).wald(), "coef", "se", "t", d=4)
-
-
-def mixed_fit(spark, sf):
-    f = _fitted(spark, sf, random="intercept").fits[0]
-    return spark.createDataFrame([(k, round(v, 4)) for k, v in f.tau2.items()], "re_group string, tau2 double")
-
-
-def satterthwaite_df(spark, sf):
-    f = _fitted(spark, sf, random="intercept").fits[0]
-    return spark.createDataFrame([(f.design.terms[i].covariate, round(float(d), 2)) for i, d in zip(f.sel, f.df, strict=True)], "covariate string, df double")
-
-
-def brown_combine(spark, sf):
-    return _rounded(pipeline.test(_fitted(spark, sf), combine="brown").pcomb, "p_pos", "p_neg")
-
-
-def pipeline_condition(spark, sf):
-    t = _model_tissue(spark, sf)
-    return _rounded(pipeline.run(t.cells, t.counts, "condition", [30.0, 50.0], fdr=1.0).results(), "coef", "t", "fdr_gene", "fdr_index", "fdr_niche", d=4)
-
-
-def pipeline_niche(spark, sf):
-    t = _model_tissue(spark, sf)
-    return _rounded(pipeline.run(t.cells, t.counts, None, [30.0, 50.0], fdr=1.0).results(), "coef", "t", "fdr_gene", "fdr_index", "fdr_niche", d=4)
-
-
 # --- SQL -------------------------------------------------------------------------------------
 
-CELLS = """cells AS (SELECT c_custkey AS cell_id, 'S' || CAST(c_nationkey % 6 AS VARCHAR) AS sample_id, c_mktsegment AS cell_type,
-  CAST((c_custkey * 7919) % 499 AS DOUBLE) AS x, CAST((c_custkey * 104729) % 503 AS DOUBLE) AS y,
-  CASE WHEN c_nationkey % 6 % 2 = 1 THEN 'Treated' ELSE 'Control' END AS condition, CAST((c_custkey * 31) % 17 + 1 AS DOUBLE) AS area FROM customer)"""
-COUNTS = """counts AS (SELECT p_brand AS gene, o_custkey AS cell_id, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
-
-
-def _erf(x: str) -> str:
-    """erf by its series of positive terms."""
-    s = f"list_sum([exp(n * ln(2 * ({x}) * ({x})) + 0.5 * ln(pi()) - (n + 1) * ln(2.0) - lgamma(n + 1.5)) for n in range(0, 120)])"
-    return f"(CASE WHEN abs({x}) < 1e-12 THEN 0.0 WHEN abs({x}) > 5.9 THEN sign({x}) ELSE 2 / sqrt(pi()) * exp(-({x}) * ({x})) * ({x}) * {s} END)"
-
-
-def _mass(v: str, lo: str, hi: str, s: str) -> str:
-    return f"0.5 * ({_erf(f'({hi} - {v}) / ({s} * sqrt(2.0))')} - {_erf(f'({lo} - {v}) / ({s} * sqrt(2.0))')})"
-
-
 def _niche_sql(sigmas, edge=True, diggle=True) -> str:
-    e = f"({_mass('x', 'x0', 'x1', 'sigma')}) * ({_mass('y', 'y0', 'y1', 'sigma')})" if edge else "1.0"
+    e = f"({mass('x', 'x0', 'x1', 'sigma')}) * ({mass('y', 'y0', 'y1', 'sigma')})" if edge else "1.0"
     by = "j.e" if diggle else "i.e"
     return f"""box AS (SELECT sample_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM cells GROUP BY 1),
 src AS (SELECT c.*, sigma, {e} AS e FROM cells c JOIN box USING (sample_id), (SELECT unnest([{', '.join(f'{float(s)}::DOUBLE' for s in sigmas)}]) AS sigma)),
@@ -359,28 +295,8 @@ WALD = """wald AS (SELECT sigma, l.gene, l.cell_type AS ct_index, ln(h.mu / l.mu
   FROM means l JOIN means h ON l.gene = h.gene AND l.cell_type = h.cell_type AND l.condition = 'Control' AND h.condition = 'Treated' CROSS JOIN psis WHERE l.mu > 0 AND h.mu > 0)"""
 
 
-def _two(t: str) -> str:
-    return f"(1 - {_erf(f'abs({t}) / sqrt(2.0)')})"
-
-
-def _cauchy(p: str, w: str = "1.0") -> str:
-    x = f"(sum(CASE WHEN {w} > 0 THEN {w} / tan({p} * pi()) END) / sum({w}))"
-    return f"CASE WHEN {x} > 1 THEN atan(1 / {x}) / pi() ELSE 0.5 - atan({x}) / pi() END"
-
-
-def _bh(p: str, family: str, ties: str, times: float = 1.0) -> str:
-    """(CTE body pieces) an adjusted p as an expression over a table that has __r and __n."""
-    part = f"PARTITION BY {family} " if family else ""
-    return f"least(1.0, least(1.0, min({p} * __n / __r) OVER ({part}ORDER BY __r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) * {times})"
-
-
-def _ranked(src: str, p: str, family: str, ties: str) -> str:
-    part = f"PARTITION BY {family}" if family else ""
-    return f"(SELECT *, row_number() OVER ({part} ORDER BY {p}, {ties}) AS __r, count({p}) OVER ({part}) AS __n FROM {src})"
-
-
-CT_P = f"""pw AS (SELECT *, least(1.0, {_two('t')}) AS p FROM wald),
-ctp AS (SELECT gene, ct_index, {_cauchy('p', 'weight')} AS p FROM pw JOIN weights USING (gene, sigma) GROUP BY 1, 2)"""
+CT_P = f"""pw AS (SELECT *, least(1.0, {two_sided('t')}) AS p FROM wald),
+ctp AS (SELECT gene, ct_index, {cauchy('p', 'weight')} AS p FROM pw JOIN weights USING (gene, sigma) GROUP BY 1, 2)"""
 SCORES = f"""d AS (SELECT n.cell_id, n.sigma, n.ct_niche, c.cell_type AS ct_index, ln(1 + n.density) AS x FROM niches n JOIN cells c USING (cell_id) WHERE c.cell_type <> n.ct_niche),
 mom AS (SELECT sigma, ct_index, ct_niche, avg(x) AS xm, var_samp(x) * (count(*) - 1) AS sxx FROM d GROUP BY 1, 2, 3),
 mu1 AS (SELECT gene, cell_type AS ct_index, sum(total) / sum(n_cells) AS mu FROM means GROUP BY 1, 2),
@@ -390,26 +306,7 @@ nw AS (SELECT sigma, gene, ct_index, ct_niche, (yx - ys * xm) / (1 + psi * mu) /
 BASE = f"WITH {CELLS},\n{COUNTS}"
 CLOSED = f"{BASE},\n{PSIS},\n{MEANS},\n{LOGLIK},\n{WEIGHTS},\n{WALD}"
 NICHE = f"{BASE},\n{PSIS},\n{MEANS},\n{LOGLIK},\n{WEIGHTS},\n{_niche_sql(SIGMAS)},\n{SCORES}"
-CLAMPED = "greatest(least({0}, 1 - 1e-15), 1e-15)"
-GATES = f"""{NICHE},
-np AS (SELECT *, {CLAMPED.format('least(1.0, ' + _two('t') + ')')} AS p, least(0.5 * {_two('t')}, 1 - 0.5 * {_two('t')}) AS p1 FROM nw),
-g1 AS (SELECT gene, sigma, {_cauchy('p')} AS p FROM np GROUP BY 1, 2),
-i1 AS (SELECT gene, sigma, ct_index, {_cauchy('p')} AS p FROM np GROUP BY 1, 2, 3),
-g2 AS (SELECT gene, {_cauchy('p', 'weight')} AS p FROM g1 JOIN weights USING (gene, sigma) GROUP BY 1),
-i2 AS (SELECT gene, ct_index, {_cauchy('p', 'weight')} AS p FROM i1 JOIN weights USING (gene, sigma) GROUP BY 1, 2),
-gq AS (SELECT gene, {_bh('p', '', 'gene')} AS fdr_gene FROM {_ranked('g2', 'p', '', 'gene')})"""
-
-
-def _pairs(fdr: float) -> str:
-    return f"""iq0 AS (SELECT i2.*, fdr_gene FROM i2 JOIN gq USING (gene) WHERE fdr_gene <= {fdr}),
-pairs AS (SELECT * FROM (SELECT gene, ct_index, fdr_gene, {_bh('p', 'gene', 'ct_index')} AS fdr_index FROM {_ranked('iq0', 'p', 'gene', 'ct_index')}) WHERE fdr_index <= {fdr})"""
-
-
-def _niche_level(fdr: float) -> str:
-    return f"""nl0 AS (SELECT gene, ct_index, ct_niche, {_cauchy('p1', 'weight')} AS p_niche, arg_min(sigma, (p1, sigma)) AS bandwidth_max, arg_min(t, (p1, sigma)) AS t, arg_min(coef, (p1, sigma)) AS coef
-  FROM np JOIN weights USING (gene, sigma) SEMI JOIN pairs USING (gene, ct_index) GROUP BY 1, 2, 3),
-nl AS (SELECT * FROM (SELECT gene, ct_index, ct_niche, p_niche, bandwidth_max, t, coef, CASE WHEN t > 0 THEN 'Up' ELSE 'Down' END AS DirectionNiche, {_bh('p_niche', 'gene, ct_index', 'ct_niche', 2.0)} AS fdr_niche
-  FROM {_ranked('nl0', 'p_niche', 'gene, ct_index', 'ct_niche')}) WHERE fdr_niche <= {fdr})"""
+GATES = f"{NICHE},\n{gates()}"
 
 
 SETS = """sets0 AS (SELECT 'first' AS collection, substr(p_brand, 1, 7) AS geneset, p_brand AS gene FROM part UNION SELECT 'second', 'ends ' || substr(p_brand, 8, 1), p_brand FROM part),
@@ -419,12 +316,12 @@ tot AS (SELECT sigma, ct_index, ct_niche, sum(t) AS tot, count(*) AS g, stddev_s
 stat AS (SELECT zb.*, (zbar - (tot - zbar * size) / (g - size)) / sd / sqrt((1 + {RHO} * (size - 1)) / size + 1 / (g - size)) AS stat, zbar / sqrt((1 + {RHO} * (size - 1)) / size) AS self FROM zb JOIN tot USING (sigma, ct_index, ct_niche))"""
 CASCADE = f"""sll AS (SELECT collection, geneset, sigma, sum(loglik) AS loglik FROM loglik JOIN sets USING (gene) GROUP BY ALL),
 {_weight_sql('sll', 'collection, geneset', 'sw')},
-st AS (SELECT collection, geneset, size, ct_index, ct_niche, {_cauchy('p', 'weight')} AS p, arg_max(sigma, (abs(stat), -sigma)) AS bandwidth_max, arg_max(stat, (abs(stat), -sigma)) AS z
-  FROM (SELECT *, least(1.0, {_two('stat')}) AS p FROM stat) JOIN sw USING (collection, geneset, sigma) GROUP BY ALL),
-l1 AS (SELECT collection, geneset, {_cauchy('p')} AS p FROM st GROUP BY ALL),
-q1 AS (SELECT * FROM (SELECT collection, geneset, {_bh('p', '', '')} AS fdr_geneset FROM {_ranked('l1', 'p', '', 'collection, geneset')}) WHERE fdr_geneset < 0.999),
-l2 AS (SELECT collection, geneset, ct_index, {_cauchy('p')} AS p FROM st SEMI JOIN q1 USING (collection, geneset) GROUP BY ALL),
-q2 AS (SELECT * FROM (SELECT collection, geneset, ct_index, {_bh('p', 'geneset', '')} AS fdr_index FROM {_ranked('l2', 'p', 'geneset', 'collection, ct_index')}) WHERE fdr_index < 0.999),
+st AS (SELECT collection, geneset, size, ct_index, ct_niche, {cauchy('p', 'weight')} AS p, arg_max(sigma, (abs(stat), -sigma)) AS bandwidth_max, arg_max(stat, (abs(stat), -sigma)) AS z
+  FROM (SELECT *, least(1.0, {two_sided('stat')}) AS p FROM stat) JOIN sw USING (collection, geneset, sigma) GROUP BY ALL),
+l1 AS (SELECT collection, geneset, {cauchy('p')} AS p FROM st GROUP BY ALL),
+q1 AS (SELECT * FROM (SELECT collection, geneset, {bh('p', '', '')} AS fdr_geneset FROM {ranked('l1', 'p', '', 'collection, geneset')}) WHERE fdr_geneset < 0.999),
+l2 AS (SELECT collection, geneset, ct_index, {cauchy('p')} AS p FROM st SEMI JOIN q1 USING (collection, geneset) GROUP BY ALL),
+q2 AS (SELECT * FROM (SELECT collection, geneset, ct_index, {bh('p', 'geneset', '')} AS fdr_index FROM {ranked('l2', 'p', 'geneset', 'collection, ct_index')}) WHERE fdr_index < 0.999),
 l3 AS (SELECT * FROM st JOIN q1 USING (collection, geneset) JOIN q2 USING (collection, geneset, ct_index))"""
 
 
@@ -481,18 +378,18 @@ SELECT round((sum(s * s) / (count(*) - 1) - max(p)) / (max(p) * (max(p) - 1)), 8
     "response_wald": f"{CLOSED} SELECT sigma, gene, ct_index, round(coef, 6) AS coef, round(se, 6) AS se, round(t, 6) AS t FROM wald",
     "niche_score_z": f"{NICHE} SELECT sigma, gene, ct_index, ct_niche, round(t, 6) AS t, round(coef, 6) AS coef FROM nw",
     "cauchy_combine": f"{CLOSED}, {CT_P} SELECT gene, ct_index, round(p, 6) AS p FROM ctp",
-    "bh_gene": f"{CLOSED}, {CT_P}, g AS (SELECT gene, {_cauchy(CLAMPED.format('p'))} AS p FROM ctp GROUP BY 1) SELECT gene, round(p, 6) AS p, round({_bh('p', '', '')}, 6) AS q FROM {_ranked('g', 'p', '', 'gene')}",
-    "bh_nested": f"{CLOSED}, {CT_P} SELECT gene, ct_index, round(p, 6) AS p, round({_bh('p', 'gene', '')}, 6) AS q FROM {_ranked('ctp', 'p', 'gene', 'ct_index')}",
-    "celltype_fdr": f"""{CLOSED}, {CT_P}, g AS (SELECT gene, {_cauchy(CLAMPED.format('p'))} AS pg FROM ctp GROUP BY 1),
-gq AS (SELECT gene, {_bh('pg', '', '')} AS fdr_gene FROM {_ranked('g', 'pg', '', 'gene')}), j AS (SELECT ctp.*, fdr_gene FROM ctp JOIN gq USING (gene) WHERE fdr_gene < 0.9)
-SELECT * FROM (SELECT gene, ct_index, round(p, 6) AS p, round(fdr_gene, 6) AS fdr_gene, round({_bh('p', 'gene', '')}, 6) AS fdr_celltype FROM {_ranked('j', 'p', 'gene', 'ct_index')}) WHERE fdr_celltype < 0.9""",
+    "bh_gene": f"{CLOSED}, {CT_P}, g AS (SELECT gene, {cauchy(CLAMPED.format('p'))} AS p FROM ctp GROUP BY 1) SELECT gene, round(p, 6) AS p, round({bh('p', '', '')}, 6) AS q FROM {ranked('g', 'p', '', 'gene')}",
+    "bh_nested": f"{CLOSED}, {CT_P} SELECT gene, ct_index, round(p, 6) AS p, round({bh('p', 'gene', '')}, 6) AS q FROM {ranked('ctp', 'p', 'gene', 'ct_index')}",
+    "celltype_fdr": f"""{CLOSED}, {CT_P}, g AS (SELECT gene, {cauchy(CLAMPED.format('p'))} AS pg FROM ctp GROUP BY 1),
+gq AS (SELECT gene, {bh('pg', '', '')} AS fdr_gene FROM {ranked('g', 'pg', '', 'gene')}), j AS (SELECT ctp.*, fdr_gene FROM ctp JOIN gq USING (gene) WHERE fdr_gene < 0.9)
+SELECT * FROM (SELECT gene, ct_index, round(p, 6) AS p, round(fdr_gene, 6) AS fdr_gene, round({bh('p', 'gene', '')}, 6) AS fdr_celltype FROM {ranked('j', 'p', 'gene', 'ct_index')}) WHERE fdr_celltype < 0.9""",
     "patient_fdr": f"""{CLOSED}, aw AS (SELECT cell_type AS ct_index, count(*) / (SELECT count(*) FROM cells) AS w FROM cells GROUP BY 1),
-c AS (SELECT sigma, gene, sum(w * coef) AS beta, sqrt(sum(w * se * w * se)) AS se FROM wald JOIN aw USING (ct_index) GROUP BY 1, 2), p0 AS (SELECT *, least(1.0, {_two('beta / se')}) AS p FROM c),
-p1 AS (SELECT gene, arg_max(beta, (weight, -sigma)) AS coef, {_cauchy('p', 'weight')} AS p FROM p0 JOIN weights USING (gene, sigma) GROUP BY 1)
-SELECT * FROM (SELECT gene, round(coef, 6) AS coef, round(p, 6) AS p, round({_bh('p', '', '')}, 6) AS fdr, CASE WHEN coef > 0 THEN 'Up' ELSE 'Down' END AS Direction FROM {_ranked('p1', 'p', '', 'gene')}) WHERE fdr < 0.99""",
-    "gene_index_fdr": f"{GATES}, {_pairs(0.999)} SELECT gene, ct_index, round(fdr_gene, 6) AS fdr_gene, round(fdr_index, 6) AS fdr_index FROM pairs",
-    "niche_level_fdr": f"{GATES}, {_pairs(1.0)}, {_niche_level(0.999)} SELECT gene, ct_index, ct_niche, round(p_niche, 6) AS p_niche, bandwidth_max, round(t, 6) AS t, round(coef, 6) AS coef, DirectionNiche, round(fdr_niche, 6) AS fdr_niche FROM nl",
-    "hierarchical_fdr": f"""{GATES}, {_pairs(1.0)}, {_niche_level(1.0)}
+c AS (SELECT sigma, gene, sum(w * coef) AS beta, sqrt(sum(w * se * w * se)) AS se FROM wald JOIN aw USING (ct_index) GROUP BY 1, 2), p0 AS (SELECT *, least(1.0, {two_sided('beta / se')}) AS p FROM c),
+p1 AS (SELECT gene, arg_max(beta, (weight, -sigma)) AS coef, {cauchy('p', 'weight')} AS p FROM p0 JOIN weights USING (gene, sigma) GROUP BY 1)
+SELECT * FROM (SELECT gene, round(coef, 6) AS coef, round(p, 6) AS p, round({bh('p', '', '')}, 6) AS fdr, CASE WHEN coef > 0 THEN 'Up' ELSE 'Down' END AS Direction FROM {ranked('p1', 'p', '', 'gene')}) WHERE fdr < 0.99""",
+    "gene_index_fdr": f"{GATES}, {pairs(0.999)} SELECT gene, ct_index, round(fdr_gene, 6) AS fdr_gene, round(fdr_index, 6) AS fdr_index FROM pairs",
+    "niche_level_fdr": f"{GATES}, {pairs(1.0)}, {niche_level(0.999)} SELECT gene, ct_index, ct_niche, round(p_niche, 6) AS p_niche, bandwidth_max, round(t, 6) AS t, round(coef, 6) AS coef, DirectionNiche, round(fdr_niche, 6) AS fdr_niche FROM nl",
+    "hierarchical_fdr": f"""{GATES}, {pairs(1.0)}, {niche_level(1.0)}
 SELECT gene, ct_index, ct_niche, bandwidth_max, round(coef, 6) AS coef, round(t, 6) AS t,
   CASE WHEN min(t) OVER (PARTITION BY gene) > 0 THEN 'Up' WHEN max(t) OVER (PARTITION BY gene) < 0 THEN 'Down' ELSE 'Both' END AS DirectionGene,
   CASE WHEN min(t) OVER (PARTITION BY gene, ct_index) > 0 THEN 'Up' WHEN max(t) OVER (PARTITION BY gene, ct_index) < 0 THEN 'Down' ELSE 'Both' END AS DirectionIndex,
@@ -502,7 +399,7 @@ SELECT gene, ct_index, ct_niche, bandwidth_max, round(coef, 6) AS coef, round(t,
     "gsea_self_contained": f"{NICHE}, {SETS}, {STAT} SELECT sigma, geneset, ct_index, ct_niche, round(self, 6) AS stat FROM stat",
     "gsea_cascade": f"""{NICHE}, {SETS}, {STAT}, {CASCADE}
 SELECT * FROM (SELECT geneset, collection, size, ct_index, ct_niche, bandwidth_max, round(z, 6) AS z, CASE WHEN z > 0 THEN 'Up' ELSE 'Down' END AS Direction, round(fdr_geneset, 6) AS fdr_geneset, round(fdr_index, 6) AS fdr_index,
-  round({_bh('p', 'collection, geneset, ct_index', '')}, 6) AS fdr_niche FROM {_ranked('l3', 'p', 'collection, geneset, ct_index', 'ct_niche')}) WHERE fdr_niche < 0.999""",
+  round({bh('p', 'collection, geneset, ct_index', '')}, 6) AS fdr_niche FROM {ranked('l3', 'p', 'collection, geneset, ct_index', 'ct_niche')}) WHERE fdr_niche < 0.999""",
     "lambda_by_celltype": f"{NICHE} SELECT ct_index, round(median(t * t) / {0.6744897501960817**2}, 6) AS lambda FROM nw GROUP BY 1",
 }
 assert math.isclose(0.6744897501960817**2, 0.4549364231195728, rel_tol=1e-9)
@@ -513,12 +410,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         niche_padded, niche_merge, niche_merge_composed, self_niche_drop, detect_sigma, design_coefmap, design_random_columns, design_matrix_long, tested_columns,
         sample_condition_check, stratified_sample_sizes, cell_abundance_weights, nb_group_means, nb_loglik_fixed_psi, pearson_dispersion, pearson_residual_rho,
         gene_weights, response_wald, niche_score_z, cauchy_combine, bh_gene, bh_nested, celltype_fdr, patient_fdr, gene_index_fdr, niche_level_fdr, hierarchical_fdr,
-        set_means, gsea_cascade, lambda_by_celltype, nb_fit, wald_full, mixed_fit, satterthwaite_df, brown_combine, pipeline_condition, pipeline_niche,
+        set_means, gsea_cascade, lambda_by_celltype,
     ]
     out = {"niche_density_diggle": _density(True, True), "niche_density_edge": _density(True, False), "niche_density_noedge": _density(False, False), "ls_matrix": q_ls_matrix, "size_factors": q_size_factors}
     out |= {f.__name__: f for f in own}
-    return out | {"gsea_competitive": _set_stat("competitive"), "gsea_self_contained": _set_stat("self-contained")}
+    out |= {"gsea_competitive": _set_stat("competitive"), "gsea_self_contained": _set_stat("self-contained")}
+    return out | closed.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | closed.oracle_sql()
