@@ -35,8 +35,8 @@ def gene_index_fdr(pcomb: DataFrame, fdr: float, two_sided_p: bool) -> DataFrame
 def niche_records(wald: DataFrame, mode: str) -> DataFrame:
     """(gene, ct_index, ct_niche, sigma, t, coef, p) of the niche-tested columns; p is the smaller one-sided tail."""
     own = wald.where(F.col("type") == ("Niche" if mode == "niche" else "ResponseNiche"))
-    lower = pt(F.col("t"), F.col("df"), True)
-    return own.select("gene", "ct_index", "ct_niche", "sigma", "t", "coef", F.least(lower, 1 - lower).alias("p"))
+    tail = lambda lower: pt(F.col("t"), F.col("df"), lower)
+    return own.select("gene", "ct_index", "ct_niche", "sigma", "t", "coef", F.least(tail(True), tail(False)).alias("p"))
 
 
 def niche_level_fdr(records: DataFrame, pairs: DataFrame, weights: DataFrame, fdr: float) -> DataFrame:

@@ -27,7 +27,7 @@ from . import pipeline
 from . import sqltext as sql
 
 #: Thresholds at which every gate drops rows of the registered tables.
-FDR_NICHE, FDR_CELLTYPE, FDR_PATIENT = 0.95, 0.9, 0.9
+FDR_NICHE, FDR_CELLTYPE, FDR_PATIENT = 1e-6, 1e-4, 1e-2
 DF = 12
 
 

@@ -23,6 +23,8 @@ from .sqltext import CELLS, CLAMPED, COUNTS, bh, cauchy, gates, mass, niche_leve
 PSI = {30.0: 0.5, 50.0: 1.0}
 SIGMAS = list(PSI)
 RHO = 0.01
+#: A threshold at which the gates on score statistics drop rows.
+FDR = 0.95
 
 
 def _r(c, d: int = 6):
@@ -195,7 +197,7 @@ def celltype_fdr(spark, sf):
 def patient_fdr(spark, sf):
     t = order_tissue(spark, sf)
     p = layers.patient_pvalues(score.patient_contrast(_wald(t), score.abundance_weights(t.cells)), _weights(t))
-    return _rounded(layers.patient_fdr(p, 0.99), "coef", "p", "fdr")
+    return _rounded(layers.patient_fdr(p, 0.9), "coef", "p", "fdr")
 
 
 def _pcomb(wald):
@@ -214,18 +216,18 @@ def _gates(t):
 
 def gene_index_fdr(spark, sf):
     _, _, p = _gates(order_tissue(spark, sf))
-    return _rounded(layers.gene_index_fdr(p, 0.999, True).drop("direction"), "fdr_gene", "fdr_index")
+    return _rounded(layers.gene_index_fdr(p, FDR, True).drop("direction"), "fdr_gene", "fdr_index")
 
 
 def niche_level_fdr(spark, sf):
     wald, w, p = _gates(order_tissue(spark, sf))
-    out = layers.niche_level_fdr(layers.niche_records(wald, "niche"), layers.gene_index_fdr(p, 1.0, True), w, 0.999)
+    out = layers.niche_level_fdr(layers.niche_records(wald, "niche"), layers.gene_index_fdr(p, 0.97, True), w, FDR)
     return _rounded(out, "p_niche", "t", "coef", "fdr_niche")
 
 
 def hierarchical_fdr(spark, sf):
     wald, w, p = _gates(order_tissue(spark, sf))
-    return _rounded(layers.hierarchical_fdr(p, layers.niche_records(wald, "niche"), w, 1.0), "coef", "t", "fdr_gene", "fdr_index", "fdr_niche")
+    return _rounded(layers.hierarchical_fdr(p, layers.niche_records(wald, "niche"), w, FDR), "coef", "t", "fdr_gene", "fdr_index", "fdr_niche")
 
 
 def _sets(spark, sf):
@@ -386,10 +388,10 @@ SELECT * FROM (SELECT gene, ct_index, round(p, 6) AS p, round(fdr_gene, 6) AS fd
     "patient_fdr": f"""{CLOSED}, aw AS (SELECT cell_type AS ct_index, count(*) / (SELECT count(*) FROM cells) AS w FROM cells GROUP BY 1),
 c AS (SELECT sigma, gene, sum(w * coef) AS beta, sqrt(sum(w * se * w * se)) AS se FROM wald JOIN aw USING (ct_index) GROUP BY 1, 2), p0 AS (SELECT *, least(1.0, {two_sided('beta / se')}) AS p FROM c),
 p1 AS (SELECT gene, arg_max(beta, (weight, -sigma)) AS coef, {cauchy('p', 'weight')} AS p FROM p0 JOIN weights USING (gene, sigma) GROUP BY 1)
-SELECT * FROM (SELECT gene, round(coef, 6) AS coef, round(p, 6) AS p, round({bh('p', '', '')}, 6) AS fdr, CASE WHEN coef > 0 THEN 'Up' ELSE 'Down' END AS Direction FROM {ranked('p1', 'p', '', 'gene')}) WHERE fdr < 0.99""",
-    "gene_index_fdr": f"{GATES}, {pairs(0.999)} SELECT gene, ct_index, round(fdr_gene, 6) AS fdr_gene, round(fdr_index, 6) AS fdr_index FROM pairs",
-    "niche_level_fdr": f"{GATES}, {pairs(1.0)}, {niche_level(0.999)} SELECT gene, ct_index, ct_niche, round(p_niche, 6) AS p_niche, bandwidth_max, round(t, 6) AS t, round(coef, 6) AS coef, DirectionNiche, round(fdr_niche, 6) AS fdr_niche FROM nl",
-    "hierarchical_fdr": f"""{GATES}, {pairs(1.0)}, {niche_level(1.0)}
+SELECT * FROM (SELECT gene, round(coef, 6) AS coef, round(p, 6) AS p, round({bh('p', '', '')}, 6) AS fdr, CASE WHEN coef > 0 THEN 'Up' ELSE 'Down' END AS Direction FROM {ranked('p1', 'p', '', 'gene')}) WHERE fdr < 0.9""",
+    "gene_index_fdr": f"{GATES}, {pairs(FDR)} SELECT gene, ct_index, round(fdr_gene, 6) AS fdr_gene, round(fdr_index, 6) AS fdr_index FROM pairs",
+    "niche_level_fdr": f"{GATES}, {pairs(0.97)}, {niche_level(FDR)} SELECT gene, ct_index, ct_niche, round(p_niche, 6) AS p_niche, bandwidth_max, round(t, 6) AS t, round(coef, 6) AS coef, DirectionNiche, round(fdr_niche, 6) AS fdr_niche FROM nl",
+    "hierarchical_fdr": f"""{GATES}, {pairs(FDR)}, {niche_level(FDR)}
 SELECT gene, ct_index, ct_niche, bandwidth_max, round(coef, 6) AS coef, round(t, 6) AS t,
   CASE WHEN min(t) OVER (PARTITION BY gene) > 0 THEN 'Up' WHEN max(t) OVER (PARTITION BY gene) < 0 THEN 'Down' ELSE 'Both' END AS DirectionGene,
   CASE WHEN min(t) OVER (PARTITION BY gene, ct_index) > 0 THEN 'Up' WHEN max(t) OVER (PARTITION BY gene, ct_index) < 0 THEN 'Down' ELSE 'Both' END AS DirectionIndex,

@@ -16,12 +16,18 @@ def erf(x: str) -> str:
     return f"(CASE WHEN abs({x}) < 1e-12 THEN 0.0 WHEN abs({x}) > 5.9 THEN sign({x}) ELSE 2 / sqrt(pi()) * exp(-({x}) * ({x})) * ({x}) * {s} END)"
 
 
+def erfc(x: str) -> str:
+    """1 - erf for x >= 0, by its continued fraction where the difference would lose digits."""
+    tail = f"exp(-({x}) * ({x})) / sqrt(pi()) / list_reduce(list_prepend(({x})::DOUBLE, [n / 2 for n in range(80, 0, -1)]), lambda f, k: ({x}) + k / f)"
+    return f"(CASE WHEN ({x}) < 2 THEN 1 - {erf(x)} ELSE {tail} END)"
+
+
 def mass(v: str, lo: str, hi: str, s: str) -> str:
     return f"0.5 * ({erf(f'({hi} - {v}) / ({s} * sqrt(2.0))')} - {erf(f'({lo} - {v}) / ({s} * sqrt(2.0))')})"
 
 
 def two_sided(t: str) -> str:
-    return f"(1 - {erf(f'abs({t}) / sqrt(2.0)')})"
+    return erfc(f"abs({t}) / sqrt(2.0)")
 
 
 def cauchy(p: str, w: str = "1.0") -> str:
@@ -45,18 +51,19 @@ CLAMPED = "greatest(least({0}, 1 - 1e-15), 1e-15)"
 
 def upper(t: str) -> str:
     """Upper tail of the normal."""
-    return f"(0.5 * (1 - {erf(f'({t}) / sqrt(2.0)')}))"
+    two = erfc(f"abs({t}) / sqrt(2.0)")
+    return f"(CASE WHEN ({t}) > 0 THEN 0.5 * {two} ELSE 1 - 0.5 * {two} END)"
 
 
 def chi_upper(x: str, df: str) -> str:
     """Upper tail of chi-square, by the series of the lower incomplete gamma function."""
     a, y = f"(({df}) / 2)", f"(({x}) / 2)"
-    return f"(1 - list_sum([exp({a} * ln({y}) - {y} + n * ln({y}) - lgamma({a} + n + 1)) for n in range(0, 400)]))"
+    return f"(CASE WHEN {y} > 150 THEN 0.0 WHEN {y} <= 0 THEN 1.0 ELSE 1 - list_sum([exp({a} * ln({y}) - {y} + n * ln({y}) - lgamma({a} + n + 1)) for n in range(0, 400)]) END)"
 
 
 def gates() -> str:
     """np, g1, i1, g2, i2, gq: evidence of a table nw of niche statistics under weights, and the genes' adjusted values."""
-    return f"""np AS (SELECT *, {CLAMPED.format('least(1.0, ' + two_sided('t') + ')')} AS p, least(0.5 * {two_sided('t')}, 1 - 0.5 * {two_sided('t')}) AS p1 FROM nw),
+    return f"""np AS (SELECT *, {CLAMPED.format('least(1.0, ' + two_sided('t') + ')')} AS p, 0.5 * {two_sided('t')} AS p1 FROM nw),
 g1 AS (SELECT gene, sigma, {cauchy('p')} AS p FROM np GROUP BY 1, 2),
 i1 AS (SELECT gene, sigma, ct_index, {cauchy('p')} AS p FROM np GROUP BY 1, 2, 3),
 g2 AS (SELECT gene, {cauchy('p', 'weight')} AS p FROM g1 JOIN weights USING (gene, sigma) GROUP BY 1),
