@@ -3,19 +3,19 @@ import inspect
 import pytest
 
 from nichespark.operators.fit import fit_design
-from nichespark.plans import queries
+from nichespark.plans import closed
 
 
 class Seen(Exception):
     pass
 
 
-@pytest.mark.parametrize("query", [queries.mixed_fit, queries.satterthwaite_df])
+@pytest.mark.parametrize("query", [closed.mixed_fit, closed.mixed_variance, closed.mixed_df])
 def test_random_effects_run_the_default_rounds(monkeypatch, query):
-    def fit(spark, sf, condition="condition", **how):
+    def fit(spark, sf, **how):
         raise Seen(how)
 
-    monkeypatch.setattr(queries, "_fitted", fit)
+    monkeypatch.setattr(closed, "_fitted", fit)
     with pytest.raises(Seen) as e:
         query(None, "")
     how, default = e.value.args[0], inspect.signature(fit_design).parameters
