@@ -8,8 +8,8 @@ lengths: pieces in order of decreasing length, each going to the feasible bin wi
 Bins in the same state are handled together as one run, so the driver's work depends on the
 sequence length and not on the corpus; pieces find their bin by their rank among equal lengths.
 
-Cases: null text is empty text (one end token); very long texts are cut into as many pieces as they
-need; repeated rows and ids are packed row by row; of bins with equal scores the one opened for the
+Cases: null text is empty text (one end token); very long texts are tokenized in slices and cut into as
+many pieces as they need, runs of whitespace of any length included; repeated rows and ids are packed row by row; of bins with equal scores the one opened for the
 longest pieces is taken, and pieces of equal length go by a hash of their keys and the keys themselves;
 an empty table gives an empty result; existing columns named like a result are replaced.
 """
@@ -17,6 +17,7 @@ an empty table gives an empty result; existing columns named like a result are r
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,11 @@ MAX_TOKENS = 1024
 MAX_DOCUMENTS = MAX_TOKENS
 MAX_COST = MAX_TOKENS * MAX_TOKENS
 END = 2
-#: Words whose ids a worker keeps; then it starts anew.
-CACHE = 150_000
+#: Characters of a text that go through the engine at once (its pattern fails on runs of about a million whitespace characters).
+SLICE = 100_000
+#: The characters that the tokenizers' pattern takes as whitespace (Unicode White_Space).
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BETWEEN = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
 #: Pieces of one length that are ranked together.
 RANKED = 65_536
 #: Weights of tokens, documents and attention cost in the choice of a bin. With these the number of sequences
@@ -52,10 +56,10 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of a byte-level BPE tokenizer file, as the `tokenizers` library gives them.
 
-    The file's vocabulary is given to a faster BPE engine; words between single spaces are split
-    alike with or without what surrounds them, so their ids are looked up. Texts with longer runs
-    of spaces go through the engine whole, and texts that hold one of the file's added tokens through
-    the library itself.
+    The file's vocabulary is given to a faster BPE engine. Texts of more than SLICE characters go through
+    it in slices that begin with a single space between two words, where the split into pieces is alike with
+    or without what comes before; runs of SLICE and more whitespace characters, on which the engine's
+    pattern fails, are split by rule. Texts that hold one of the file's added tokens go through the library itself.
     """
 
     def __init__(self, path: str):
@@ -68,11 +72,10 @@ class Encoder:
         special = {t["content"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(to_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.engine = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.path, self.library = path, None
 
-    def ids(self, text: str) -> bytes:
+    def ids(self, text: str, size: int = SLICE) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if any(x in text for x in self.added):
             if self.library is None:
@@ -80,20 +83,29 @@ class Encoder:
 
                 self.library = Tokenizer.from_file(self.path)
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        encode = self.engine.encode_ordinary
-        if "  " in text or text.endswith(" ") or not text:
-            return np.array(encode(text), "<u4").tobytes()
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        first, *rest = text.split(" ")
-        out = [np.array(encode(first), "<u4").tobytes()]
-        for w in rest:
-            got = known.get(w)
-            if got is None:
-                got = known[w] = np.array(encode(" " + w), "<u4").tobytes()
-            out.append(got)
-        return b"".join(out)
+        if len(text) <= size:
+            return np.array(self.engine.encode_ordinary(text), "<u4").tobytes()
+        return b"".join(np.array(x, "<u4").tobytes() for x in self._sliced(text, size))
+
+    def _sliced(self, text: str, size: int) -> Iterator[list[int]]:
+        at = 0
+        for run in re.finditer(f"[{WHITE}]{{{size},}}", text):
+            yield from self._words(text, at, run.start(), size)
+            at = run.end()
+            if at < len(text):  # the last character goes with the next word if it is a space, else it is a piece
+                at -= 1
+            if at > run.start():
+                yield self.engine._encode_single_piece(text[run.start() : at].encode())
+            if at < len(text) and text[at] != " ":
+                yield self.engine._encode_single_piece(text[at].encode())
+                at += 1
+        yield from self._words(text, at, len(text), size)
+
+    def _words(self, text: str, at: int, end: int, size: int) -> Iterator[list[int]]:
+        while end - at > size and (cut := _BETWEEN.search(text, at + size, end)):
+            yield self.engine.encode_ordinary(text[at : cut.start()])
+            at = cut.start()
+        yield self.engine.encode_ordinary(text[at:end])
 
 
 def encoder(path: str) -> Encoder:
@@ -129,7 +141,6 @@ def tokenize(docs: DataFrame, text: str = "text", id_col: str = "doc_id", tokeni
                     row, piece, start, ids, size = [], [], [], [], 0
             if row:
                 yield flush()
-        enc.known.clear()
 
     src = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string"))
     out = src.mapInArrow(tidied(pieces), f"`{id_col}` {kind.simpleString()}, piece int, start long, length int, ids binary")

@@ -21,6 +21,22 @@ def test_ids_equal_the_tokenizers_library():
         assert np.frombuffer(enc.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_slices_and_long_runs_equal_the_tokenizers_library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    enc = packing.encoder(packing.default_tokenizer())
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice([" ", " ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "'s", "a", "é", "1", ".", "😀", "word", "   ", " \n "]) for _ in range(rng.randint(1, 40)))
+        want = t.encode(text, add_special_tokens=False).ids
+        for size in (1, 2, 3, 7):
+            assert np.frombuffer(enc.ids(text, size), "<u4").tolist() == want, (size, repr(text))
+    n = 1_100_000
+    for text in (" " * n, "a" + " " * n + "b", "\n \t" * (n // 3) + "x", "x y " * (n // 4) + "\u3000" * n + "z", "a" * n, "a \n" * (n // 3)):
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text[:20])
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_plan_respects_every_capacity(rule):
     rng = random.Random(2)
