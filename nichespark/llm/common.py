@@ -329,3 +329,18 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def keep_one(docs: DataFrame, near: DataFrame, id_col: str) -> DataFrame:
+    """docs without those whose id isn't its component in near (id_col, component; a row for each of docs).
+
+    Of rows that repeat an id which stays, the first by their columns as JSON text is kept; rows with a null id all stay.
+    """
+    ids = F.col(f"`{id_col}`")
+    near = near.where(ids.isNotNull()).groupBy(ids).agg(F.max(ids != F.col("component")).alias("__gone"), F.count("*").alias("__rows"))
+    fate = durable(near.where("__gone or __rows > 1").select(ids, "__gone"), "fate")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    alone = docs.join(fate, id_col, "left_anti").select(*cols)
+    row = F.struct(*cols)
+    again = docs.join(fate.where("not __gone"), id_col, "left_semi").groupBy(ids.alias("__id")).agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return alone.unionByName(again.select("__row.*"))

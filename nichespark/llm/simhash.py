@@ -14,7 +14,7 @@ none is cut. Groups link their members by a spanning star, not by all pairs.
 
 Cases: null and empty texts have fingerprint zero and link like others; rows with a null id get a
 fingerprint but neither link nor have a component; repeated ids are one document for each fingerprint
-they have; an empty table gives an empty result; columns named like a result are replaced.
+they have, and `keep_first` keeps one of their rows at most; an empty table gives an empty result; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _and_end, connected_components, durable, local_stars, tidied, without
+from .common import _and_end, connected_components, durable, keep_one, local_stars, tidied, without
 
 SEED = 42
 SHINGLE = 3
@@ -194,10 +194,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 
 def keep_first(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
-    """One document of each group: the one with the smallest id. Rows with a null id stay."""
-    near = near_duplicates(docs, text, id_col, **how)
-    dropped = near.where((F.col(id_col).isNotNull()) & (F.col(id_col) != F.col("component"))).select(id_col).distinct()
-    return docs.join(dropped, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each group: of the document with the smallest id, the row that `keep_one` takes. Rows with a null id stay."""
+    return keep_one(docs, near_duplicates(docs, text, id_col, **how), id_col)
 
 
 def report(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
