@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -248,6 +249,16 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return s, e, np.searchsorted(off, s, "right") - 1
 
 
+#: From the first to the last letter or digit, in time linear in the text (an anchored class at its end takes the square).
+_CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
+
+
+def bare(token: str) -> str:
+    """The token in lower case without what isn't a letter or digit at its ends."""
+    core = _CORE.search(token.lower())
+    return core.group(0) if core else ""
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return spans_hash(_BYTE[data], starts, ends, 0)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, lookup, tidied
+from .common import bare, durable, lookup, tidied
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that retrieves it.
@@ -49,11 +49,10 @@ PART_WORDS = 2_000_000
 #: Postings of blocks that are added up at once.
 PASSAGES = 4_000_000
 KNOWN = 150_000
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def normal(token: bytes) -> str:
-    return _EDGE.sub("", token.decode("utf-8", "replace").lower())
+    return bare(token.decode("utf-8", "replace"))
 
 
 def item_words(text: str) -> list[str]:

@@ -23,13 +23,14 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, tidied, without
+from .common import bare, durable, tidied, without
 from .labelled import SAMPLE, remainder, sample
 
 HELD_OUT = (3, 1)
@@ -48,11 +49,15 @@ RESULTS = ("held_out", "score", "predicted")
 
 _L, _S = r"[^\W\d_]", r"[0-9@$!|+]"
 _GAP = r"[ .\-_*~]"
-_SUSPECT = re.compile(rf"{_L}{_S}+{_L}|{_L}[0-9@$]+(?!\w)|(?<!\S){_S}+{_L}|({_L})\1\1|(?<![^\W_])(?:{_L}|{_S}){_GAP}(?:{_L}|{_S}){_GAP}(?:{_L}|{_S})(?![^\W_])")
+#: What a letter may start: look-alikes before a letter or an end, a lengthened letter, spaced letters; then what a symbol may start.
+_SUSPECT = re.compile(
+    rf"({_L})(?:{_S}+{_L}|[0-9@$]+(?!\w)|\1\1|(?<![^\W_]{_L}){_GAP}(?:{_L}|{_S}){_GAP}(?:{_L}|{_S})(?![^\W_]))"
+    rf"|(?<!\S){_S}+{_L}|(?<![^\W_]){_S}{_GAP}(?:{_L}|{_S}){_GAP}(?:{_L}|{_S})(?![^\W_])"
+)
 _SPACED = re.compile(rf"(?:{_L}|{_S})(?:{_GAP}(?:{_L}|{_S})(?![^\W_]))+")
 _TOKEN = re.compile(r"\S+")
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_ENDS = re.compile(r"[^\w@$]+$")
+#: Up to the last character that may end a word.
+_UPTO = re.compile(r".*[\w@$]", re.S)
 
 
 def _class_table() -> np.ndarray:
@@ -104,7 +109,7 @@ def readings(span: str, spaced: bool) -> list[list[tuple[str, float]]]:
     while i < len(span):
         c = span[i]
         j = i + 1
-        while j < len(span) and span[j] == c:
+        while c.isalpha() and j < len(span) and span[j] == c:
             j += 1
         alike = LOOKALIKES.get(c)
         if c.isalpha() and j - i >= 3:
@@ -165,7 +170,8 @@ class Restorer:
             else:
                 a = max(at, text.rfind(" ", at, m.start()) + 1, text.rfind("\n", at, m.start()) + 1, text.rfind("\t", at, m.start()) + 1)
                 z = _TOKEN.match(text, m.start()).end() if not text[m.start()].isspace() else m.end()
-                z = max(m.end(), a + len(_ENDS.sub("", text[a:z])))
+                body = _UPTO.match(text, a, z)
+                z = max(m.end(), body.end() if body else a)
             span = text[a:z]
             key = (span, spaced is not None)
             got = self.known.get(key)
@@ -181,7 +187,7 @@ class Restorer:
 
 def marks(token: str) -> tuple[str, ...]:
     """A token's word and its beginnings (marked ^)."""
-    w = _EDGE.sub("", token.lower())
+    w = bare(token)
     return (w, *("^" + w[:k] for k in BEGINNINGS if len(w) > k)) if w else ()
 
 
@@ -197,13 +203,29 @@ class Model:
         return math.log((toxic + 0.5) / (self.n_toxic + 1)) - math.log((clean + 0.5) / (self.n_clean + 1))
 
 
+class Known(dict):
+    """Whether tokens bear a mark, worked out when first asked; of so many tokens at most."""
+
+    def __init__(self, scorer: Scorer):
+        self.scorer = scorer
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) >= KNOWN:
+            self.clear()
+        got = self[token] = self.scorer.evidence(token) > 0
+        return got
+
+
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known = model, Known(self)
+        self.heads = {f.removeprefix("^")[: BEGINNINGS[0]] for f in model.lexicon}
 
     def evidence(self, token: str, own: int | None = None) -> float:
         """The strongest mark of a token; own: the label of the document, which then doesn't count."""
         best = 0.0
+        if bare(token)[: BEGINNINGS[0]] not in self.heads:
+            return best
         for f in marks(token):
             got = self.model.lexicon.get(f)
             if got:
@@ -213,19 +235,13 @@ class Scorer:
         return best if best >= LEAST_RATIO - 0.5 else 0.0
 
     def stats(self, text: str, own: int | None = None) -> tuple[float, ...]:
-        tokens = set(text.split())
-        known, hits = self.known, {}
-        for t in tokens:
-            x = known.get(t)
-            if x is None:
-                if len(known) > KNOWN:
-                    known.clear()
-                x = known[t] = self.evidence(t)
+        tokens = list(set(text.split()))
+        hits: dict[str, float] = {}
+        for t in compress(tokens, map(self.known.__getitem__, tokens)):
+            x = self.evidence(t, own)
             if x:
-                x = self.evidence(t, own) if own is not None else x
-                if x:
-                    w = _EDGE.sub("", t.lower())
-                    hits[w] = max(hits.get(w, 0.0), x)
+                w = bare(t)
+                hits[w] = max(hits.get(w, 0.0), x)
         total = sum(hits.values())
         return 1.0, math.log1p(total), min(len(hits), 5.0), max(hits.values(), default=0.0), len(hits) / max(1, len(tokens))
 

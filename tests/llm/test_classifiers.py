@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from nichespark.llm import quality, toxicity
+from nichespark.llm import common, quality, toxicity
 from nichespark.llm.labelled import sample
 
 BAD = ["idiot", "moron", "pathetic", "scum", "worthless"]
@@ -50,6 +50,17 @@ def check(rows, truth, k, modulus, rest, threshold, least):
     assert np.mean(hits) > least
 
 
+def test_very_long_tokens_take_linear_time():
+    n = 1_000_000
+    model = toxicity.Model(np.zeros((toxicity.CLASSES,) * 3), 50, 50, {"moron": (50, 0), "^mor": (50, 0), "ab": (50, 0)}, np.ones(5))
+    for text in ("a" + "-" * n + "b", "-" * n + "a1" + "!" * n, "a1" + "!" * n + "_" * n, "a" * n, "a1" * 1000 + "_" * n + "b", "m0r0n " + "1" * n + "_"):
+        restored = toxicity.Restorer(model.characters)(text)
+        assert 0 <= toxicity.Scorer(model)(restored) <= 1
+    assert [common.bare(x) for x in ("_a-b_", "--", "", "É1!", "a\n")] == ["a-b", "", "", "é1", "a"]
+    s = toxicity.Scorer(model)
+    assert [s.evidence(x) > 0 for x in ("Moron!", "mor", "more", "ab", "abc", "xmor")] == [True, False, True, True, False, False]
+
+
 def test_toxicity(spark, tables):
     docs, labels, truth = tables
     model = toxicity.fit(docs, labels)
