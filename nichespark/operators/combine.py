@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from ..functions.expr import cauchy
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A result-sized table, computed now, so that plans which read it begin there.
+
+    Layers read the rows before them several times; a persisted table would keep its whole plan in each of
+    them, which the driver copies and compares at every step. Kept in the checkpoint folder if there is one.
+    """
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     """Rows of all bandwidths; columns that one lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import bh_adjust, cauchy, clamp, pt, two_sided
+from .combine import settled
 
 NICHE_SCHEMA = "gene string, ct_index string, ct_niche string, bandwidth_max double, coef double, t double, DirectionGene string, DirectionIndex string, DirectionNiche string, fdr_gene double, fdr_index double, fdr_niche double"
 
@@ -55,7 +56,7 @@ def _direction(by: list[str]):
 
 def hierarchical_fdr(pcomb: DataFrame, records: DataFrame, weights: DataFrame, fdr: float, two_sided_p: bool = True) -> DataFrame:
     """The niche layer: genes, then index types, then niches; ordered by fdr_niche and |t|."""
-    pairs = gene_index_fdr(pcomb, fdr, two_sided_p).persist()
+    pairs = settled(gene_index_fdr(pcomb, fdr, two_sided_p))
     out = niche_level_fdr(records, pairs, weights, fdr).join(pairs, ["gene", "ct_index"])
     if two_sided_p:
         out = out.withColumns({"DirectionGene": _direction(["gene"]), "DirectionIndex": _direction(["gene", "ct_index"])})

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import nb
+from .combine import settled
 from .design import Design
 
 TAU2_RANGE = (1e-8, 1e4)
@@ -218,7 +219,7 @@ def fit_design(design: Design, packed: DataFrame, cells: DataFrame | None = None
     labels = [t.re_group for t in design.terms]
     base = np.array([0.0 if g else lambda_a for g in labels])
     if random == "none":
-        genes = fit_nb(packed, ids, w, base, winsor=winsor).persist()
+        genes = settled(fit_nb(packed, ids, w, base, winsor=winsor))
         return Fit(design.sigma, design.mode, design, ids, w, genes)
     names = list(dict.fromkeys(g for g in labels if g))
     groups = [np.array([i for i, g in enumerate(labels) if g == n]) for n in names]
@@ -252,7 +253,7 @@ def fit_design(design: Design, packed: DataFrame, cells: DataFrame | None = None
             break  # the values of the last fit stay
         tau2 = new
     pen = penalty()
-    genes = fit_nb(packed, ids, w, pen, winsor=winsor).persist()
+    genes = settled(fit_nb(packed, ids, w, pen, winsor=winsor))
     if df_method == "between":
         df: np.ndarray | float = between_df(design.mode, labels, len(ids))
     else:

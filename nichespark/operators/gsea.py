@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import special
 from ..functions.expr import TINY, bh_adjust, cauchy, pt, two_sided
-from .combine import relative_weights
+from .combine import relative_weights, settled
 
 
 def _qnorm_batch(s: pd.Series) -> pd.Series:
@@ -69,12 +69,12 @@ def set_statistics(z: DataFrame, sets: DataFrame, rho: DataFrame, test: str = "c
 def cascade(tab: DataFrame, fdr: float, nested: bool = True, per_collection: bool = False) -> DataFrame:
     """Set, then index type, then (nested) niche: each level re-corrects the rows that survived; all strictly below fdr.
 
-    Every level reads the rows before it twice, so the result-sized tables between levels are kept.
+    Every level reads the rows before it twice, so the result-sized tables between levels are computed once and end their plans.
     """
-    tab = tab.persist()
+    tab = settled(tab)
     first = tab.groupBy("collection", "geneset").agg(cauchy(F.col("p")).alias("p_geneset"))
     first = bh_adjust(first, "p_geneset", ["collection"] if per_collection else [], ["collection", "geneset"], "fdr_geneset").where(F.col("fdr_geneset") < fdr)
-    tab = tab.join(first, ["collection", "geneset"]).persist()
+    tab = settled(tab.join(first, ["collection", "geneset"]))
     second = tab.groupBy("collection", "geneset", "ct_index").agg(cauchy(F.col("p")).alias("p_index"))
     second = bh_adjust(second, "p_index", ["geneset"], ["collection", "ct_index"], "fdr_index").where(F.col("fdr_index") < fdr)
     tab = tab.join(second, ["collection", "geneset", "ct_index"])
@@ -87,7 +87,8 @@ def gene_set_test(wald: DataFrame, loglik: DataFrame, genesets: DataFrame, rho:
     """The gene-set layer. wald and loglik(sigma, gene, loglik) of all bandwidths; rho(sigma, rho)."""
     if kind not in ("niche", "celltype"):
         raise ValueError("kind must be niche or celltype")
-    sets = usable_sets(genesets, loglik, min_size, max_size)
+    loglik = settled(loglik)
+    sets = settled(usable_sets(genesets, loglik, min_size, max_size))
     stat = set_statistics(z_table(wald, mode, kind), sets, rho, test)
     ll = loglik.join(sets, "gene").groupBy("collection", "geneset", "sigma").agg(F.sum("loglik").alias("loglik")).withColumn("key", F.struct("collection", "geneset"))
     w = relative_weights(ll, "key", weight_thresh).select("key.*", "sigma", "weight")

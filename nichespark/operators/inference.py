@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from . import nb
+from .combine import settled
 from .fit import Fit, _psum, dense
 
 EPS = 1e-15
@@ -140,7 +141,8 @@ def infer(fit: Fit, packed: DataFrame, combine: str = "cauchy", with_rho: bool =
         kinds = [pa.string(), v, v, v, v, v, pa.float64(), pa.float64(), pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["gene", "coef", "t", "se", "up", "down", "se_patient", "loglik", "beta"])
 
-    res = src.mapInArrow(run, "gene string, coef array<double>, t array<double>, se array<double>, up array<double>, down array<double>, se_patient double, loglik double, beta double").persist()
+    res = src.mapInArrow(run, "gene string, coef array<double>, t array<double>, se array<double>, up array<double>, down array<double>, se_patient double, loglik double, beta double")
+    res = settled(res)
     dfs = [None] * len(sel) if df is None else [float(df)] * len(sel) if np.ndim(df) == 0 else [float(x) for x in df]
     cols = spark.createDataFrame([(k, int(i), t.covariate, t.type, t.ct_index, t.ct_niche, dfs[k]) for k, (i, t) in enumerate(zip(sel, terms, strict=True))], "k int, pos int, covariate string, type string, ct_index string, ct_niche string, df double")
     long = res.select("gene", F.posexplode(F.arrays_zip("coef", "t", "se")).alias("k", "v")).select("gene", "k", "v.coef", "v.t", "v.se")

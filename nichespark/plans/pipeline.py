@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fdr as layers
 from ..operators import gsea
-from ..operators.combine import combine_bandwidths, relative_weights, union
+from ..operators.combine import combine_bandwidths, relative_weights, settled, union
 from ..operators.design import Design, build_design
 from ..operators.fit import Fit, fit_design, pack_counts
 from ..operators.inference import infer, residual_rho
@@ -105,10 +105,10 @@ def test(res: Results, fdr: float = 0.05, weight_thresh: float = 0.1, combine: s
             infer(f, res.packed, combine, block_size=block_size)
         res.combine = combine
     two = res.fits[0].two_sided
-    res.weights = relative_weights(res.loglik(), "gene", weight_thresh).persist()
+    res.weights = settled(relative_weights(res.loglik(), "gene", weight_thresh))
     p = union([f.pcomb for f in res.fits]).withColumn("ct_index", F.coalesce("ct_index", F.lit("")))
     p = combine_bandwidths(p, res.weights, ["gene", "level", "ct_index"], ["p_pos", "p_neg"])
-    res.pcomb = p.withColumn("ct_index", F.when(F.col("level") == "Index", F.col("ct_index"))).persist()
+    res.pcomb = settled(p.withColumn("ct_index", F.when(F.col("level") == "Index", F.col("ct_index"))))
     wald = res.wald()
     res.tables = {"niche": layers.hierarchical_fdr(res.pcomb, layers.niche_records(wald, res.mode), res.weights, fdr, two)}
     spark = res.packed.sparkSession

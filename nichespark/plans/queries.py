@@ -12,7 +12,7 @@ from ..functions import expr
 from ..operators import fdr as layers
 from ..operators import fit as fitting
 from ..operators import gsea, score
-from ..operators.combine import combine_bandwidths, relative_weights, union
+from ..operators.combine import combine_bandwidths, relative_weights, settled, union
 from ..operators.design import build_design
 from ..operators.niches import build_niches, detect_sigmas, merge_niches, self_niches
 from ..operators.sizefactors import ls_matrix, size_factors
@@ -148,7 +148,7 @@ LL_SHARE = 0.001
 
 
 def _weights(t):
-    return relative_weights(_loglik(t).withColumn("loglik", F.col("loglik") * LL_SHARE)).persist()
+    return settled(relative_weights(_loglik(t).withColumn("loglik", F.col("loglik") * LL_SHARE)))
 
 
 def gene_weights(spark, sf):
@@ -162,7 +162,7 @@ def _wald(t):
 
 def _niche_wald(t):
     n = build_niches(t.cells, SIGMAS).persist()
-    return union([score.niche_scores(t.cells, t.counts, n.where(F.col("sigma") == s), psi) for s, psi in PSI.items()]).persist()  # a result-sized table that several levels read
+    return settled(union([score.niche_scores(t.cells, t.counts, n.where(F.col("sigma") == s), psi) for s, psi in PSI.items()]))
 
 
 def response_wald(spark, sf):
@@ -211,7 +211,7 @@ def _pcomb(wald):
 def _gates(t):
     w = _weights(t)
     wald = _niche_wald(t)
-    return wald, w, combine_bandwidths(_pcomb(wald), w, ["gene", "level", "ct_index"], ["p_pos", "p_neg"])
+    return wald, w, settled(combine_bandwidths(_pcomb(wald), w, ["gene", "level", "ct_index"], ["p_pos", "p_neg"]))
 
 
 def gene_index_fdr(spark, sf):
