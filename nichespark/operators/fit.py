@@ -101,6 +101,7 @@ def fit_nb(packed: DataFrame, ids: np.ndarray, w: np.ndarray, pen: np.ndarray, i
 
     def curves(batches):
         i, x, p = bc.value
+        x = nb.blocks(x)
         out = [(name, *one_curve(y, x, p)) for name, y, _, _ in each_gene(batches, i)]
         v = pa.list_(pa.float64())
         yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), v, v))], ["gene", "curve", "alpha"])
@@ -120,6 +121,7 @@ def fit_nb(packed: DataFrame, ids: np.ndarray, w: np.ndarray, pen: np.ndarray, i
 
     def final(batches):
         i, x, p = bc.value
+        x = nb.blocks(x)
         out = []
         for name, y, b, g in each_gene(batches, i):
             psi = nb.peak(b.column(3)[g].values.to_numpy(zero_copy_only=False) + common)

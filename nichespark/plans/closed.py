@@ -145,8 +145,9 @@ def patient_one_bandwidth(spark, sf):
 def score_equations(f: fitting.Fit, counts: DataFrame) -> DataFrame:
     """(gene, covariate, score): absolute penalised scores at the fitted coefficients, from the design's own rows."""
     design, p = f.design.frame(), len(f.design.terms)
-    grid = design.crossJoin(F.broadcast(f.genes.select("gene", "alpha", "psi")))  # some genes; a check of fits of this size
-    y = grid.join(counts.select("gene", "cell_id", "n"), ["gene", "cell_id"], "left")
+    # a cell's counts come as a map to its row, so that rows times genes are summed where they arise
+    own = counts.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("gene", "n"))).alias("counts"))
+    y = design.join(own, "cell_id", "left").crossJoin(F.broadcast(f.genes.select("gene", "alpha", "psi"))).withColumn("n", F.try_element_at("counts", F.col("gene")))
     eta = F.aggregate(F.zip_with("w", "alpha", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
     y = y.withColumn("mu", F.exp(eta)).withColumn("r", (F.coalesce("n", F.lit(0)) - F.col("mu")) / (1 + F.col("psi") * F.col("mu")))
     sums = y.groupBy("gene").agg(F.first("alpha").alias("alpha"), F.array(*[F.sum(F.col("w")[j] * F.col("r")) for j in range(p)]).alias("s"))
@@ -158,7 +159,7 @@ def score_equations(f: fitting.Fit, counts: DataFrame) -> DataFrame:
 
 def _fitted(spark, sf, **how):
     t = model_tissue(spark, sf)
-    return t, pipeline.fit(t.cells, t.counts, build_niches(t.cells, [30.0]), "condition", winsor=None, **how).fits[0]
+    return t, pipeline.fit(t.cells, t.counts, build_niches(t.cells, [30.0]).persist(), "condition", winsor=None, **how).fits[0]
 
 
 def nb_scores(spark, sf):
