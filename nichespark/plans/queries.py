@@ -16,7 +16,8 @@ from ..operators.combine import combine_bandwidths, relative_weights, settled, u
 from ..operators.design import build_design
 from ..operators.niches import build_niches, detect_sigmas, merge_niches, self_niches
 from ..operators.sizefactors import ls_matrix, size_factors
-from ..sources.tissue import order_cells, order_tissue
+from ..sources.simulate import Tissue
+from ..sources.tissue import order_cells, order_counts, order_tissue
 from . import closed, validate
 from .sqltext import CELLS, CLAMPED, COUNTS, bh, cauchy, gates, mass, niche_level, pairs, ranked, two_sided
 
@@ -161,8 +162,12 @@ def _wald(t):
 
 
 def _niche_wald(t):
-    n = build_niches(t.cells, SIGMAS).persist()
-    return settled(union([score.niche_scores(t.cells, t.counts, n.where(F.col("sigma") == s), psi) for s, psi in PSI.items()]))
+    return settled(score.niche_scores(t.cells, t.counts, build_niches(t.cells, SIGMAS), PSI))
+
+
+def _order_niche_wald(spark, sf):
+    """For queries that read nothing else of the tissue: counts are read once and cells need no totals, so neither is kept."""
+    return _niche_wald(Tissue(order_cells(spark, sf), order_counts(spark, sf)))
 
 
 def response_wald(spark, sf):
@@ -170,7 +175,7 @@ def response_wald(spark, sf):
 
 
 def niche_score_z(spark, sf):
-    return _rounded(_niche_wald(order_tissue(spark, sf)), "t", "coef").select("sigma", "gene", "ct_index", "ct_niche", "t", "coef")
+    return _rounded(_order_niche_wald(spark, sf), "t", "coef").select("sigma", "gene", "ct_index", "ct_niche", "t", "coef")
 
 
 def _celltype_p(t):
@@ -241,13 +246,13 @@ def _rho(spark):
 
 
 def set_means(spark, sf):
-    z = gsea.z_table(_niche_wald(order_tissue(spark, sf)), "niche")
+    z = gsea.z_table(_order_niche_wald(spark, sf), "niche")
     return _rounded(gsea.set_means(z, gsea.usable_sets(_sets(spark, sf), z, 3)), "zbar").drop("size")
 
 
 def _set_stat(test):
     def run(spark, sf):
-        z = gsea.z_table(_niche_wald(order_tissue(spark, sf)), "niche")
+        z = gsea.z_table(_order_niche_wald(spark, sf), "niche")
         out = gsea.set_statistics(z, gsea.usable_sets(_sets(spark, sf), z, 3), _rho(spark), test)
         return _rounded(out, "stat").select("sigma", "geneset", "ct_index", "ct_niche", "stat")
 
@@ -262,7 +267,7 @@ def gsea_cascade(spark, sf):
 
 
 def lambda_by_celltype(spark, sf):
-    return _rounded(gsea.inflation(_niche_wald(order_tissue(spark, sf))), "lambda")
+    return _rounded(gsea.inflation(_order_niche_wald(spark, sf)), "lambda")
 
 
 # --- SQL -------------------------------------------------------------------------------------
